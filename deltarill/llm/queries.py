@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltarill.llm import heavy, leaks, mixing, packing
+from deltarill.llm import heavy, leaks, mixing, packing, pii
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
     """In how many documents each item was found."""
     return leaks.leaked_items(p7_found(spark, d), table(spark, d, "eval_items"))
+
+
+# --- 9: personal information
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found_pieces(table(spark, d, "documents"), table(spark, d, "name_list"))
+
+
+@query
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return pii.redact(docs, pii.found_pieces(docs, table(spark, d, "name_list")))
