@@ -167,11 +167,11 @@ def katz_nation_trade(spark: SparkSession, d: str) -> DataFrame:
 #: fixed value: small lines of every kind
 BAD_LINES = ["# c", "% c", "0\t2 1 2", "1\t1 2", "2\t1 0,2.5", "3\t3 0 1", "4\t0", "5\t1 x", "6\t1 0,abc", "", "7 1 0"]
 _BAD_SQL = "(VALUES " + ", ".join("('" + x.replace("\t", "' || chr(9) || '") + "')" for x in BAD_LINES) + ") t(line)"
-_PARSE_SQL = r"""rec AS (SELECT *, list_filter(regexp_split_to_array(line, '[ \t\r\n]+'), x -> x <> '') AS t FROM {src}
+_PARSE_SQL = r"""rec AS (SELECT *, list_filter(regexp_split_to_array(line, '[ \t\r\n]+'), lambda x: x <> '') AS t FROM {src}
   WHERE line IS NOT NULL AND NOT regexp_matches(line, '^[#%]') AND regexp_matches(line, '\S')),
 parsed AS (SELECT *, t[3:] AS nb, CASE WHEN NOT regexp_full_match(t[1], '[0-9]{1,18}') THEN 'src'
   WHEN t[2] IS NULL OR NOT regexp_full_match(t[2], '[0-9]{1,18}') THEN 'count'
-  WHEN len(list_filter(t[3:], x -> NOT regexp_full_match(x, '[0-9]{1,18}(,[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?)?'))) > 0 THEN 'neighbour'
+  WHEN len(list_filter(t[3:], lambda x: NOT regexp_full_match(x, '[0-9]{1,18}(,[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?)?'))) > 0 THEN 'neighbour'
   WHEN CAST(t[2] AS BIGINT) <> len(t) - 2 THEN 'mismatch' END AS reason FROM rec)"""
 
 
