@@ -152,8 +152,9 @@ def wcc_supp_part(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {NATION_TRADE}, w AS (SELECT src, dst, weight / (SELECT max(weight) FROM e) AS weight FROM e),
 r(i, id, delta) AS (SELECT 0, min(src), CAST(1 AS DOUBLE) FROM w UNION ALL
-SELECT i + 1, dst, s FROM (SELECT r.i, w.dst, sum(0.05 * w.weight * r.delta) AS s FROM r JOIN w ON r.id = w.src WHERE r.i < 5 GROUP BY r.i, w.dst))
-SELECT id, round(sum(delta), 6) AS value FROM r GROUP BY id""")
+SELECT i + 1, dst, s FROM (SELECT r.i, w.dst, sum(0.05 * w.weight * r.delta) AS s FROM r JOIN w ON r.id = w.src WHERE r.i < 5 GROUP BY r.i, w.dst)),
+ids AS (SELECT src AS id FROM w UNION SELECT dst FROM w)
+SELECT ids.id, round(coalesce(sum(delta), 0), 6) AS value FROM ids LEFT JOIN r ON r.id = ids.id GROUP BY ids.id""")
 def katz_nation_trade(spark: SparkSession, d: str) -> DataFrame:
     """Katz centrality from the first nation, six rounds over normalised weights."""
     e = graph.nation_trade(spark, d)

@@ -177,9 +177,7 @@ def unpack_by_source(df: DataFrame, row_id: str, value: str, source: str, *, dec
         subsets["".join(seps)] = piece_pattern(seps, layout)
     known = df.sparkSession.createDataFrame(list(subsets.items()), "separators string, pattern string")
     patterns = chosen.select("source", F.array_join("separators", "").alias("separators")).join(known, "separators")
-    joined = df.select(F.col(row_id), F.col(value), F.col(source).alias("source_of_row")).join(
-        patterns.select("source", "pattern"), F.col("source_of_row").eqNullSafe(F.col("source")), "left"
-    )
-    pattern = F.coalesce(F.col("pattern"), F.lit(piece_pattern([], layout)))
-    out = joined.withColumn("pattern", pattern)
-    return split_packed(out, row_id, value, F.col("pattern"), layout)
+    rows = df.select(F.col(row_id).alias("_id"), F.col(value).alias("_value"), F.col(source).alias("_source"))
+    joined = rows.join(patterns.select("source", "pattern"), F.col("_source").eqNullSafe(F.col("source")), "left")
+    out = joined.withColumn("pattern", F.coalesce(F.col("pattern"), F.lit(piece_pattern([], layout))))
+    return split_packed(out, "_id", "_value", F.col("pattern"), layout)

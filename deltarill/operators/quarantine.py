@@ -66,7 +66,7 @@ def _is_id(v: Column) -> Column:
 
 
 def records(raw: DataFrame, row_id: str = "line_id", text: str = "line_text", feed: str = "feed") -> DataFrame:
-    """``line_id, feed, cells, n_cells, items``: the records of the two feeds; null, blank and comment rows are left out.
+    """``line_id, feed, cells, n_cells, items``: the records of the two feeds; null, blank and comment rows and those of no known feed are left out.
 
     ``items`` are the blank-separated parts of an adjacency list. Columns are taken by name, so others may be there.
     """
