@@ -152,8 +152,19 @@ _PHONE_WORD = re.compile(r"(?:\btel\b|t[eé]l\b|\bтел\b|\bcall\b|phone|\btext
 _ID_WORD = re.compile(r"(?:\bssn\b|social security|insurance|passport|taxpayer|\btax\b|\bid\b|ausweis|steuer|reisepass|personal|sécurité sociale|s.curit. sociale|identit|passeport|\bdni\b|\bnie\b|\bnif\b|documento|снилс|паспорт|\bинн\b)")
 _THING_WORD = re.compile(r"(?:order|flight|\bcase\b|ticket|serial|room|page|version|code|cost|crown|dial|line|column|floor|\bfps\b|vuelo|pedido|vol\b|commande|flug|bestell|заказ|рейс)")
 
+# fixed values: digits as words
+_DIGIT_WORDS = (
+    "oh o zero nought one two three four five six seven eight nine double triple "
+    "null eins zwei zwo drei vier fünf sechs sieben acht neun zéro un deux trois quatre cinq sept huit neuf "
+    "cero uno dos tres cuatro cinco seis siete ocho nueve ноль один два три четыре пять шесть семь восемь девять"
+).split()
+_DIGIT_FORMS = frozenset(form(w) for w in _DIGIT_WORDS)
+#: digits in words that make a number
+SPELLED = 6
+
 _CAP = "A-ZÀ-ÖØ-ÞŸŁŚŠŽА-ЯЁΑ-Ω╟╔╓"
 _NO = r"\d{1,4}"
+_X = r"[^\s\d,.;:!\"()\[\]\x1e\x1f]"  # a sign within a word, damaged or not
 # fixed values: words for streets
 _EN_TYPE = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Court|Ct|Way|Close|Drive|Dr|Place|Square|Terrace|Row|Crescent|Boulevard|Blvd)"
 _FR_TYPE = r"(?i:rue|quai|avenue|av\.|bd\.?|boulevard|impasse|place|chemin|all.{1,2}e|cours|route|passage|square)"
@@ -161,19 +172,20 @@ _ES_TYPE = r"(?i:calle|avenida|avda\.|av\.|plaza|paseo|camino|ronda|carretera|C/
 _RU_TYPE = r"(?i:улица|ул\.|проспект|пр\.|пр-т|переулок|пер\.|площадь|пл\.|набережная|наб\.|бульвар|шоссе)"
 _DE_END = r"(?:stra.{1,2}e|str\.?|weg|gasse|platz|allee|ufer|ring|damm)"
 _STREET = re.compile(
-    rf"(?P<en>(?<![\w.,-]){_NO}[A-Za-z]?(?:,{_B}|{_B})(?:(?:North|South|East|West|Old|New|Upper|Lower|Great|Little){_B})?[{_CAP}][\w'’?�!-]*(?:{_B}[{_CAP}][\w'’?�!-]*)?{_B}{_EN_TYPE}\b(?:(?:(?<=St)|(?<=Rd)|(?<=Ln)|(?<=Ct)|(?<=Dr)|(?<=Ave)|(?<=Blvd))\.)?)"
-    rf"|(?P<fr>(?<![\w.,-]){_NO}(?:{_B}(?:bis|ter|quater)|[A-Za-z])?(?:,{_B}|{_B}){_FR_TYPE}{_B}(?:(?:de{_B}la|de{_B}l['’]|des|du|de|d['’]|la|le|les){_B}?)?[{_CAP}][\w'’?�Θ-]*(?:{_B}[{_CAP}][\w'’?�-]*)*)"
-    rf"|(?P<es>(?<!\w){_ES_TYPE}{_B}(?:(?:de{_B}la|de{_B}los|de{_B}las|del|de|la){_B})?[{_CAP}][\w'’?�-]*(?:{_B}[{_CAP}][\w'’?�-]*)*(?:,{_B}|{_B})(?:n\.? ?.{{1,2}}{_B}|n[uú]m\.{_B})?{_NO}(?:{_B}?bis|[A-Za-z])?(?!\w))"
-    rf"|(?P<ru>(?<!\w){_RU_TYPE}{_B}[{_CAP}][\w-]*(?:{_B}[{_CAP}][\w-]*)*(?:,{_B}|{_B})(?:(?:д\.|дом){_B}?)?{_NO}(?:{_B}?[а-яА-Я](?![\w.]))?(?:/\d+)?(?!\w))"
-    rf"|(?P<de>(?<!\w)(?:[{_CAP}][\w?�-]*{_B})?(?:[{_CAP}][\w?�-]*{_DE_END}|Stra.{{1,2}}e|Str\.|Weg|Gasse|Platz|Allee){_B}{_NO}(?:{_B}?[a-z](?!\w))?(?!\w|[.,:]\d))"
+    rf"(?P<en>(?<![\w.,-])[0-9lIO][0-9O]{{0,3}}[A-Za-z]?(?:,{_B}|{_B})(?:(?:North|South|East|West|Old|New|Upper|Lower|Great|Little){_B})?[{_CAP}][\w'’?�!-]*(?:{_B}[{_CAP}][\w'’?�!-]*)?{_B}{_EN_TYPE}\b(?:(?:(?<=St)|(?<=Rd)|(?<=Ln)|(?<=Ct)|(?<=Dr)|(?<=Ave)|(?<=Blvd))\.)?)"
+    rf"|(?P<fr>(?<![\w.,-]){_NO}(?:{_B}(?:bis|ter|quater)|[A-Za-z])?(?:,{_B}|{_B}){_FR_TYPE}{_B}(?:(?:de{_B}la|de{_B}l['’]|des|du|de|d['’]|la|le|les)(?:{_B})?)?[{_CAP}]{_X}*(?:{_B}[{_CAP}]{_X}*)*)"
+    rf"|(?P<es>(?<!\w){_ES_TYPE}{_B}(?:(?:de{_B}la|de{_B}los|de{_B}las|del|de|la){_B})?[{_CAP}]{_X}*(?:{_B}[{_CAP}]{_X}*)*(?:,{_B}|{_B})(?:n\.? ?.{{1,2}}{_B}|n[uú]m\.{_B})?{_NO}(?:(?:{_B})?bis|[A-Za-z])?(?!\w))"
+    rf"|(?P<ru>(?<!\w){_RU_TYPE}{_B}[{_CAP}][\w-]*(?:{_B}[{_CAP}][\w-]*)*(?:,{_B}|{_B})(?:(?:д\.|дом)(?:{_B})?)?{_NO}(?:(?:{_B})?[а-яА-Я](?![\w.]))?(?:/\d+)?(?!\w))"
+    rf"|(?P<de>(?<!\w)(?:[{_CAP}][\w?�-]*{_B})?(?:[{_CAP}][\w?�-]*{_DE_END}|Stra.{{1,2}}e|Str\.|Weg|Gasse|Platz|Allee){_B}{_NO}(?:(?:{_B})?[a-z](?!\w))?(?!\w|[.,:]\d))"
 )
 # a phrase without a word for a street, before a number
-_PHRASE = re.compile(rf"(?<!\w)(?P<left>[\w'’?�-]+:?{_B})(?P<phrase>[{_CAP}][\w?�-]+(?:{_B}[{_CAP}][\w?�-]+){{0,2}})(?P<no>(?:,{_B}|{_B}){_NO}(?:{_B}?[a-z](?![\w'’]))?)(?!\w|[.,:/-]\d|{_B}\d)")
+_PHRASE = re.compile(rf"(?<!\w)(?P<left>[\w'’?�-]+:?{_B})(?P<phrase>[{_CAP}][\w?�-]+(?:{_B}[{_CAP}][\w?�-]+){{0,2}})(?P<no>(?:,{_B}|{_B}){_NO}(?:(?:{_B})?[a-z](?![\w'’]))?)(?!\w|[.,:/-]\d|{_B}\d)")
 
 _CUE = re.compile(r"[^\x1e]+")
 _DIGIT = re.compile(r"[0-9]")
 _AT = re.compile(r"[\[(][ao][tl][\])]| at ", re.I)
 _TOKEN = re.compile(r"[^\s,;:!?\"“”„«»()\[\]<>{}|…\x1e\x1f/]+(?:[!?](?=\w)[^\s,;:!?\"“”„«»()\[\]<>{}|…\x1e\x1f/]+)*")
+_MISREAD = re.compile(r"[OoIlSBT!](?=[0-9OoIlSBT!]*[0-9])|(?<=[0-9])[OoIlSBT!]")
 _INITIAL = re.compile(r"[^\W\d_]\.?\Z")
 
 
@@ -216,7 +228,7 @@ class Finder:
             core = token.strip(".'’-–—*_~#♪¿¡`")
             first = core[:1]
             if len(core) < 2 or not (first.isupper() or (first.isalpha() and not first.islower()) or (not first.isascii() and not first.islower())):
-                k = ("-", "")
+                k = ("-", "d" if core and form(core) in _DIGIT_FORMS else "")
             else:
                 f = form(core.replace("’", "'"))
                 k = (f, self.listed.get(f, ""))
@@ -277,22 +289,28 @@ class Finder:
             s = x.group()
             if sum(c.isdigit() for c in s) < 5 or any(a < t and u < b for u, t in taken):
                 continue
-            left = m[max(0, a - 34) : a].lower()
-            cut = max(left.rfind("\x1e"), left.rfind(". ") if not left.rstrip().endswith(("tel.", "tél.", "тел.", "nr.")) else left[:-6].rfind(". "), left.rfind("! "), left.rfind("? "))
-            left = left[cut + 1 :] if cut >= 0 else left
-            if _THING_WORD.search(left):
-                label = "thing"
-            elif _ID_WORD.search(left):
-                label = "id"
-            elif _PHONE_WORD.search(left) or s[0] == "+" or s.startswith("(+"):
-                label = "phone"
-            else:
-                label = ""
+            label = self._label(m, a, s)
             for a2, b2 in self._cuts(m, a, b):
-                add("number" if (a2, b2) == (a, b) else "cut", a2, b2, shape(m[a2:b2]), label, a)
+                t = shape(m[a2:b2])
+                add("number" if (a2, b2) == (a, b) else "cut", a2, b2, t, label, a)
+                if "Z" in t and (u := _MISREAD.sub("9", m[a2:b2])) != m[a2:b2]:
+                    add("cut", a2, b2, shape(u), label, a)
         self._names(m, add)
         return out
 
+    @staticmethod
+    def _label(m: str, a: int, found: str) -> str:
+        """What the words before a number in its sentence say it is."""
+        left = m[max(0, a - 34) : a].lower()
+        stop = left[:-6].rfind(". ") if left.rstrip().endswith(("tel.", "tél.", "тел.", "nr.")) else left.rfind(". ")
+        cut = max(left.rfind("\x1e"), stop, left.rfind("! "), left.rfind("? "))
+        left = left[cut + 1 :]
+        if _THING_WORD.search(left):
+            return "thing"
+        if _ID_WORD.search(left):
+            return "id"
+        return "phone" if _PHONE_WORD.search(left) or found.startswith(("+", "(+")) else ""
+
     @staticmethod
     def _left(s: str) -> str:
         """The two words before, as forms."""
@@ -317,10 +335,17 @@ class Finder:
     def _names(self, m: str, add) -> None:
         """Pairs of neighbouring capitalised words, in either order, with at least one listed word or a word that may be learned."""
         prev: list[tuple[re.Match, str, str]] = []
+        spelled: list[re.Match] = []
         name = self._name
         for x in _TOKEN.finditer(m):
             tok = x.group()
             f, role = name(tok)
+            if role == "d":
+                if spelled and m[spelled[-1].end() : x.start()].strip(" ,-"):
+                    spelled = self._spelled(m, spelled, add)
+                spelled.append(x)
+            elif spelled:
+                spelled = self._spelled(m, spelled, add)
             bare = tok.strip("-–—*_~#♪¿¡`")
             if f == "-" and not (len(bare) <= 2 and bare[:1].isupper() and (bare[1:] == "." or len(bare) == 1)):
                 if "-" in tok and len(tok) > 3 and tok[0].isupper():
@@ -341,6 +366,16 @@ class Finder:
             prev.append((x, f, role))
             if len(prev) > 3:
                 prev.pop(0)
+        if spelled:
+            self._spelled(m, spelled, add)
+
+    def _spelled(self, m: str, run: list[re.Match], add) -> list:
+        """A number told in words."""
+        if len(run) >= SPELLED:
+            a = run[0].start()
+            b = run[-1].start() + len(run[-1].group().rstrip(".'’-–"))
+            add("number", a, b, f"words {len(run)}", self._label(m, a, ""), a)
+        return []
 
     def _parts(self, token: str) -> tuple[str, int]:
         """Term of a family name that may be double, and how many of its parts are listed as family names."""
@@ -367,6 +402,10 @@ class Finder:
         if i1 and not i2:
             if t1.endswith(".") and fam2:
                 add("name", a, end, f"i|f:{fam2}", "", 1 if n2 else 0)
+                if len(prev) >= 2 and prev[-2][1] != "-" and not _INITIAL.match(prev[-2][0].group()):  # a middle initial
+                    x0 = prev[-2][0]
+                    a0 = x0.start() + len(x0.group()) - len(x0.group().lstrip("-–—*_~#♪¿¡`'’"))
+                    add("name", a0, end, f"g:{prev[-2][1]}|f:{fam2}", "", (1 if "g" in prev[-2][2] else 0) + (1 if n2 else 0))
             return
         if i1 or i2:
             return
@@ -507,7 +546,7 @@ def found_names(cand: DataFrame, names: DataFrame) -> DataFrame:
     within = Window.partitionBy("doc_id")
     return (
         ok_rows.withColumn("all", F.collect_list("found").over(within))
-        .where(~F.exists("all", lambda o: (F.length(o) > F.length("found")) & o.startswith(F.concat(F.col("found"), F.lit(" ")))))
+        .where(~F.exists("all", lambda o: o.startswith(F.concat(F.col("found"), F.lit(" "))) | o.endswith(F.concat(F.lit(" "), F.col("found")))))
         .select("doc_id", "found")
     )
 
