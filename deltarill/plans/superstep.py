@@ -73,7 +73,9 @@ def superstep(state: DataFrame, prepared: DataFrame, kernel: Kernel, scheduled:
     if scheduled is not None:
         runs = runs & scheduled
     s = state.select("id", value.alias("value"), delta.alias("delta"), runs.alias("runs"))
-    j = prepared.join(s.hint("shuffle_hash"), F.col("src") == F.col("id"))
+    # said in every round, so that the scan and its exchange are the same in all of them
+    known = prepared.where("src is not null and dst is not null")
+    j = known.join(s.hint("shuffle_hash"), F.col("src") == F.col("id"))
     after = F.when(F.col("runs"), kernel.combine(value, delta)).otherwise(value)
     j = j.where(F.col("self") | F.col("runs")).select(
         "dst",
