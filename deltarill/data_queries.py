@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltarill import data_sql
 from deltarill.operators import orphans, packed, quarantine, skew
 
 GRAPH_LAYOUT = packed.Layout(decimal_suffix=True, list_quotes=True)
@@ -141,6 +142,7 @@ QUERIES = {f.__name__: f for f in (p3_found, p3_separators, p4_found, p4_report,
                                    p5_report, p6_found, p6_totals, p6_percentiles)}
 
 ORACLES = {
+    **data_sql.ORACLES,
     "p4_found": f"SELECT ref_table, ref_month, row_id FROM ({P4_DIRECT})",
     "p4_report": f"""
 WITH direct AS ({P4_DIRECT}),
