@@ -158,6 +158,11 @@ _DIGIT_WORDS = (
     "null eins zwei zwo drei vier fünf sechs sieben acht neun zéro un deux trois quatre cinq sept huit neuf "
     "cero uno dos tres cuatro cinco seis siete ocho nueve ноль один два три четыре пять шесть семь восемь девять"
 ).split()
+# fixed values: titles, which are no part of a name and never learned as one
+_TITLES = frozenset(form(w) for w in (
+    "mr mrs ms miss mister sir madam lady lord dr prof herr frau fräulein monsieur madame mademoiselle mme "
+    "señor señora señorita don doña господин госпожа товарищ"
+).split())
 _DIGIT_FORMS = frozenset(form(w) for w in _DIGIT_WORDS)
 #: digits in words that make a number
 SPELLED = 6
@@ -528,7 +533,7 @@ def found_names(cand: DataFrame, names: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count("g_listed").alias("beside"), F.count_distinct(F.when(F.col("g_listed"), F.col("g"))).alias("partners")
     )
     ok = (F.col("partners") >= PARTNERS) & (F.col("beside") >= F.lit(NEXT_TO_LISTED) * F.col("n"))
-    given = g.select("g").unionByName(g_new.where(ok).select("g")).select(F.col("g").alias("given"), F.lit(1).alias("is_given"))
+    given = g.select("g").unionByName(g_new.where(ok & ~F.col("g").isin(*_TITLES)).select("g")).select(F.col("g").alias("given"), F.lit(1).alias("is_given"))
     family = f.select("p").unionByName(f_new.where(ok).select("p")).select(F.col("p").alias("family"), F.lit(1).alias("is_family"))
     c = cand.where("kind = 'name'").withColumn("g", F.regexp_extract("term", r"^g:([^|]*)\|", 1)).withColumn(
         "parts", F.split(F.regexp_extract("term", r"\|f:(.*)$", 1), r"\+")
