@@ -101,10 +101,14 @@ def run_rounds(prepared: DataFrame, kernel: Kernel, rounds: int, state: DataFram
     return state
 
 
+def _progress(kernel: Kernel) -> Column:
+    finite = F.when((F.col("value") != kernel.id_column) & ~F.isnan("value"), F.col("value"))
+    return F.coalesce(F.sum(finite), F.lit(0.0)).alias("progress")
+
+
 def progress(state: DataFrame, kernel: Kernel) -> DataFrame:
     """``progress``: the sum of the values that are not the identity."""
-    finite = F.when((F.col("value") != kernel.id_column) & ~F.isnan("value"), F.col("value"))
-    return state.agg(F.coalesce(F.sum(finite), F.lit(0.0)).alias("progress"))
+    return state.agg(_progress(kernel))
 
 
 @dataclass
@@ -118,26 +122,32 @@ def run_daic(prepared: DataFrame, kernel: Kernel, stop: Terminator, *, portion:
     """Rounds until ``stop``; progress is looked at every ``check_every`` rounds, as one number.
 
     With ``portion`` below 1 only the vertices of highest priority run in a round (all of them in tables of at most
-    ``min_rows_for_threshold`` rows). A kernel that only improves ends when nothing is pending. Metrics hold a row per check.
+    ``min_rows_for_threshold`` rows). A kernel that only improves ends when nothing is pending. Metrics hold a row per check;
+    ``updates`` are the vertices that ran in the first of its rounds.
     """
     if not 0 < portion <= 1:
         raise ValueError("portion must be in (0, 1]")
+    def looked_at(s: DataFrame) -> tuple[float, int]:
+        """Progress and pending vertices, in one pass over the table that was just written."""
+        waiting = F.count_if(kernel.pending(F.col("value"), F.col("delta")))
+        return tuple(s.agg(_progress(kernel), waiting.alias("pending")).first())
+
     state, before, metrics, done = materialize(initial(prepared, kernel)), None, [], 0
+    pending = looked_at(state)[1]
     while done < limit:
-        held, updates = state, 0
+        held, updates = state, pending
         for _ in range(check_every if portion == 1 else 1):
             chosen = None
             if portion < 1:
                 chosen = threshold(state, kernel, portion, min_rows_for_threshold, exact_threshold)
-            runs = kernel.pending(F.col("value"), F.col("delta"))
-            if portion < 1 or check_every == 1:
-                updates = state.where(runs if chosen is None else runs & chosen).count()
+                if chosen is not None:
+                    updates = state.where(kernel.pending(F.col("value"), F.col("delta")) & chosen).count()
             state = superstep(state, prepared, kernel, chosen)
             done += 1
         state = materialize(state)
         release(held)
-        now = progress(state, kernel).first()[0]
-        ended = stop(before, now, done) or (kernel.improves and updates == 0 and check_every == 1)
+        now, pending = looked_at(state)
+        ended = stop(before, now, done) or (kernel.improves and pending == 0)
         metrics.append({"round": done, "progress": now, "diff": None if before is None else abs(now - before), "updates": updates, "terminated": ended})
         before = now
         if ended:

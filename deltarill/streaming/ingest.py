@@ -12,7 +12,7 @@ from deltarill.sources import adjacency
 def append_edges(lines: DataFrame, path: str, checkpoint: str, line: str = "line") -> StreamingQuery:
     """Parse a stream of adjacency lines and append their edges as Parquet, exactly once; wrong records go to ``<path>_quarantine``."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        adjacency.edges(batch, line).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        adjacency.edges(batch, line).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         adjacency.quarantine(batch, line).write.mode("overwrite").parquet(f"{path}_quarantine/batch={batch_id}")
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
