@@ -31,6 +31,9 @@ LABELLED = 0.12
 PARTNERS = 2
 NEXT_TO_LISTED = 0.3
 
+#: names a list may have
+MAX_LISTED = 1_000_000
+
 KINDS = ("name", "email", "phone", "id", "address")
 
 # ---------------------------------------------------------------- text as it was meant, with places in the text as it is
@@ -190,6 +193,7 @@ _CUE = re.compile(r"[^\x1e]+")
 _DIGIT = re.compile(r"[0-9]")
 _AT = re.compile(r"[\[(][ao][tl][\])]| at ", re.I)
 _TOKEN = re.compile(r"[^\s,;:!?\"“”„«»()\[\]<>{}|…\x1e\x1f/]+(?:[!?](?=\w)[^\s,;:!?\"“”„«»()\[\]<>{}|…\x1e\x1f/]+)*")
+_CYRILLIC = re.compile("[Ѐ-ӿ]")
 _MISREAD = re.compile(r"[OoIlSBT!](?=[0-9OoIlSBT!]*[0-9])|(?<=[0-9])[OoIlSBT!]")
 _INITIAL = re.compile(r"[^\W\d_]\.?\Z")
 
@@ -295,11 +299,12 @@ class Finder:
             if sum(c.isdigit() for c in s) < 5 or any(a < t and u < b for u, t in taken):
                 continue
             label = self._label(m, a, s)
+            script = "к" if _CYRILLIC.search(m, max(0, a - 14), a) else ""  # the same shape may stand for other things in another script
             for a2, b2 in self._cuts(m, a, b):
-                t = shape(m[a2:b2])
+                t = shape(m[a2:b2]) + script
                 add("number" if (a2, b2) == (a, b) else "cut", a2, b2, t, label, a)
                 if "Z" in t and (u := _MISREAD.sub("9", m[a2:b2])) != m[a2:b2]:
-                    add("cut", a2, b2, shape(u), label, a)
+                    add("cut", a2, b2, shape(u) + script, label, a)
         self._names(m, add)
         return out
 
@@ -307,7 +312,7 @@ class Finder:
     def _label(m: str, a: int, found: str) -> str:
         """What the words before a number in its sentence say it is."""
         left = m[max(0, a - 34) : a].lower()
-        stop = left[:-6].rfind(". ") if left.rstrip().endswith(("tel.", "tél.", "тел.", "nr.")) else left.rfind(". ")
+        stop = left[:-8].rfind(". ") if left.rstrip(" :").endswith(("tel.", "tél.", "t�l.", "t?l.", "тел.", "nr.")) else left.rfind(". ")
         cut = max(left.rfind("\x1e"), stop, left.rfind("! "), left.rfind("? "))
         left = left[cut + 1 :]
         if _THING_WORD.search(left):
@@ -438,13 +443,21 @@ class Finder:
             add("name", a, x2.start() + len(t2.rstrip(".'’*_~#♪`-")), f"g:{f2}|f:{fam1}", "c", (1 if "g" in r2 else 0) + (1 if n1 else 0))
 
 
+def _listed_rows(names: DataFrame) -> list:
+    """The name list, which every task holds; a longer one than ``MAX_LISTED`` is refused."""
+    rows = names.where("name is not null").select("name", "name_role").distinct().limit(MAX_LISTED + 1).collect()
+    if len(rows) > MAX_LISTED:
+        raise ValueError(f"the name list has more than {MAX_LISTED} names; learn the rest from the documents")
+    return rows
+
+
 _CANDIDATE = "doc_id {}, kind string, found string, term string, context string, mark int"
 
 
 def candidates(docs: DataFrame, names: DataFrame, doc_id: str = "doc_id", text: str = "text", cue_format: str | None = "cue_format") -> DataFrame:
     """``doc_id, kind, found, term, context, mark``: see :class:`Finder`. One pass, no shuffle; ``names`` must be a list a driver can hold."""
     listed: dict[str, str] = {}
-    for r in names.where("name is not null").select("name", "name_role").collect():
+    for r in _listed_rows(names):
         f = form(r.name.strip())
         listed[f] = "".join(sorted(set(listed.get(f, "")) | {(r.name_role or "?")[0]}))
 
@@ -513,7 +526,7 @@ def name_terms(cand: DataFrame) -> DataFrame:
 
 
 def _listed_frame(names: DataFrame) -> DataFrame:
-    rows = {(form(r.name.strip()), (r.name_role or "?")[0]) for r in names.where("name is not null").select("name", "name_role").collect()}
+    rows = {(form(r.name.strip()), (r.name_role or "?")[0]) for r in _listed_rows(names)}
     return names.sparkSession.createDataFrame(sorted(rows) or [("", "")], "part string, role string")
 
 
@@ -524,7 +537,7 @@ def found_names(cand: DataFrame, names: DataFrame) -> DataFrame:
     g = listed.where("role = 'g'").select(F.col("part").alias("g"), F.lit(True).alias("g_listed"))
     f = listed.where("role = 'f'").select(F.col("part").alias("p"), F.lit(True).alias("p_listed"))
     fam = pairs.withColumn("p", F.explode(F.split("f", r"\+")))
-    marked = fam.join(F.broadcast(g), "g", "left").join(F.broadcast(f), "p", "left")
+    marked = fam.join(g, "g", "left").join(f, "p", "left")
     # how strongly a word reveals a name: in how many of its places a listed name stands beside it, and how many different ones
     g_new = marked.where("g_listed is null").groupBy("g").agg(
         F.count("*").alias("n"), F.count("p_listed").alias("beside"), F.count_distinct(F.when(F.col("p_listed"), F.col("p"))).alias("partners")
