@@ -1,5 +1,4 @@
-"""Kernels. PageRank is the flagship; the others follow the published model of delta-based accumulative computation
-(Zhang, Gao, Gao and Wang, IEEE TPDS 2014)."""
+"""Kernels. PageRank is the flagship; the others are extensions in the same published model of delta-based accumulative computation."""
 
 from __future__ import annotations
 

@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the table that was written."""
+    """Write ``df`` once to the shared folder and return the table that was written; it goes with :func:`release` or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/deltarill-{uuid.uuid4().hex}"
     df.write.parquet(path)
