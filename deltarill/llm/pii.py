@@ -32,7 +32,7 @@ PARTNERS = 2
 NEXT_TO_LISTED = 0.3
 
 #: names a list may have
-MAX_LISTED = 1_000_000
+MAX_LISTED = 200_000
 
 KINDS = ("name", "email", "phone", "id", "address")
 
@@ -537,7 +537,7 @@ def found_names(cand: DataFrame, names: DataFrame) -> DataFrame:
     g = listed.where("role = 'g'").select(F.col("part").alias("g"), F.lit(True).alias("g_listed"))
     f = listed.where("role = 'f'").select(F.col("part").alias("p"), F.lit(True).alias("p_listed"))
     fam = pairs.withColumn("p", F.explode(F.split("f", r"\+")))
-    marked = fam.join(g, "g", "left").join(f, "p", "left")
+    marked = fam.join(F.broadcast(g), "g", "left").join(F.broadcast(f), "p", "left")  # at most MAX_LISTED names
     # how strongly a word reveals a name: in how many of its places a listed name stands beside it, and how many different ones
     g_new = marked.where("g_listed is null").groupBy("g").agg(
         F.count("*").alias("n"), F.count("p_listed").alias("beside"), F.count_distinct(F.when(F.col("p_listed"), F.col("p"))).alias("partners")
