@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -114,3 +115,19 @@ def test_pre_step_and_progress(spark):
     assert {r.id: (r.value, r.delta) for r in s.collect()} == {1: (0.5, 0.0), 2: (0.5, 1.5)}
     assert superstep.progress(s, k).first()[0] == 1.0
     assert set(algorithms.REGISTRY) == {"pagerank", "shortest_paths", "connected_components", "katz"}
+
+
+def test_shortest_paths_query_goes_to_the_end(spark, tmp_path):
+    from deltarill.graph_queries import sssp_user_next
+
+    walk = [*range(40), 0, 39, 5]  # a chain of 39 edges, dear short cuts
+    events = [(i, i, u, 500.0 if u in (0, 39) and i >= 39 else 1.0) for i, u in enumerate(walk)]
+    spark.createDataFrame(events, "event_id long, ts long, user_id long, value double").withColumn("ts", F.timestamp_seconds("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    edges = [(a[2], b[2], a[3]) for a, b in zip(events, events[1:])]
+    best = {0: 0.0}
+    for _ in range(len(edges)):  # Bellman-Ford
+        for a, b, w in edges:
+            if a in best and best[a] + w < best.get(b, math.inf):
+                best[b] = best[a] + w
+    assert max(best.values()) == 39.0 and len(best) == 40
+    assert {r.id: r.value for r in sssp_user_next(spark, str(tmp_path)).collect()} == best
