@@ -2,10 +2,10 @@
 
 One pass over the documents proposes candidates: pieces that could be personal data, each with a *term* that stands for it (a
 digit shape such as ``(999) 999-9999``, a street phrase, the words of a name) and the *context* it was met in. Corpus
-co-occurrence over all documents then estimates how strongly a term reveals a protected entity: the pointwise mutual
-information between the term and contexts that name the entity (a label such as "Tel.", a listed name next to it, a frame
-in which typed streets stand). Terms whose disclosure exceeds the threshold are protected wherever they occur, also without
-a label; all others stay in the text. What is found is then replaced by a typed placeholder.
+co-occurrence over all documents then estimates how strongly a term reveals a protected entity, from the contexts that name
+the entity (a label such as "Tel.", a listed name next to it, a frame in which typed streets stand). Terms whose disclosure
+exceeds the threshold are protected wherever they occur, also without a label; a number with a label of its own is protected
+whatever its shape; all others stay in the text. What is found is then replaced by a typed placeholder.
 
 Statistics cover all documents; nothing is sampled. The candidates, a few short rows per document, are written once to the
 shared folder. Terms are few (shapes, phrases, names), their counts are aggregated map-side.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from deltarill.llm.leaks import _HIGH, _sloppy_bytes, form
 from deltarill.session import materialize
 
-#: nats of pointwise mutual information from which on a term discloses an entity, and the share of its occurrences that must be labelled
+#: nats of log odds of an entity's label against a thing's from which on a digit shape discloses the entity, and the share of its occurrences that must be labelled
 DISCLOSURE = 0.2
 LABELLED = 0.12
 #: a name term that is not listed must stand next to so many different listed names, and to one in this share of its occurrences
@@ -482,19 +482,21 @@ def _pmi(joint: Column, term: Column, cls: Column, whole: Column) -> Column:
 
 
 def number_terms(cand: DataFrame) -> DataFrame:
-    """``term, kind, disclosure``: digit shapes that reveal a phone or an id."""
+    """``term, kind, disclosure``: digit shapes that reveal a phone or an id also without a label.
+
+    Log odds within the shape, which do not depend on how common phones or ids are among all numbers.
+    """
     n = cand.where("kind = 'number'")
     per = n.groupBy("term").agg(
         F.count("*").alias("n"), *[F.count_if(F.col("context") == c).alias(c) for c in ("phone", "id", "thing")]
     )
-    tot = n.agg(F.count("*").alias("n"), *[F.count_if(F.col("context") == c).alias(c) for c in ("phone", "id", "thing")]).first()
-    one = {c: _pmi(F.col(c), F.col("n"), F.lit(float(tot[c])), F.lit(float(tot["n"]))) for c in ("phone", "id", "thing")}
     best = F.when(F.col("phone") >= F.col("id"), "phone").otherwise("id")
+    most = F.greatest("phone", "id")
     return (
         per.withColumn("kind", best)
-        .withColumn("disclosure", F.when(F.col("kind") == "phone", one["phone"]).otherwise(one["id"]))
-        .withColumn("labelled", F.greatest("phone", "id") / F.col("n"))
-        .where((F.col("disclosure") >= DISCLOSURE) & (F.col("labelled") >= LABELLED) & (F.greatest("phone", "id") > F.col("thing")))
+        .withColumn("disclosure", F.log((most + 0.5) / (F.col("thing") + 0.5)))  # half an observation added
+        .withColumn("labelled", most / F.col("n"))
+        .where((F.col("disclosure") >= DISCLOSURE) & (F.col("labelled") >= LABELLED))
         .select("term", "kind", "disclosure")
     )
 
@@ -576,10 +578,12 @@ def found_pieces(docs: DataFrame, names: DataFrame, doc_id: str = "doc_id", text
     """
     cand = materialize(candidates(docs, names, doc_id, text, cue_format))
     mail = cand.where("kind = 'email'").select("doc_id", F.lit("email").alias("pii_type"), "found")
-    numbers = cand.where("kind in ('number', 'cut')").join(number_terms(cand).withColumnRenamed("kind", "pii_type"), "term")
-    labelled = numbers.withColumn("pii_type", F.when(F.col("context").isin("phone", "id"), F.col("context")).otherwise(F.col("pii_type")))
-    # of the cuts of one number the longest that discloses
-    best = labelled.where("context <> 'thing'").groupBy("doc_id", "mark").agg(F.max_by(F.struct("pii_type", "found"), F.length("found")).alias("b"))
+    shapes = number_terms(cand).select("term", F.col("kind").alias("pii_type"))
+    numbers = cand.where("kind in ('number', 'cut')").join(shapes, "term", "left").withColumn("discloses", F.col("pii_type").isNotNull())
+    own = F.col("context").isin("phone", "id")  # protected whatever its shape
+    labelled = numbers.where(own | (F.col("discloses") & (F.col("context") != "thing"))).withColumn("pii_type", F.when(own, F.col("context")).otherwise(F.col("pii_type")))
+    # of the cuts of one number the longest that discloses, else of a labelled one the whole
+    best = labelled.groupBy("doc_id", "mark").agg(F.max_by(F.struct("pii_type", "found"), F.struct("discloses", F.length("found"))).alias("b"))
     number = best.select("doc_id", "b.pii_type", "b.found")
     typed = cand.where("kind = 'address' and mark = 1").select("doc_id", F.lit("address").alias("pii_type"), "found")
     phrased = cand.where("kind = 'address' and mark = 0").join(phrase_terms(cand), "term", "left_semi").select("doc_id", F.lit("address").alias("pii_type"), "found")

@@ -92,3 +92,21 @@ def test_places_in_damaged_text():
     assert meant == "Mäntel & Jörg" and text[at[meant.index("J")] :].startswith("J")
     ru = "Меня зовут Демьян Ветлугин, и это моя новая работа"
     assert pii.meant(ru.encode("koi8-r").decode("cp1251"))[0] == ru
+
+
+def numbers_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'srt' as cue_format")
+    names = spark.createDataFrame(NAMES, "name string, name_role string, lang string")
+    return {(r.doc_id, r.pii_type, r.found) for r in pii.found_pieces(docs, names).collect()}
+
+
+def test_labelled_numbers_stay_whatever_their_share(spark):
+    phones = [f"Tel. 030 {10000 + i} {100 + i}" for i in range(90)]
+    ids = [f"SSN: 9{10 + i}-{10 + i}-{1000 + i}" for i in range(10)]
+    plain = ["The number 030 99999 999 is mine.", "The form says 945-48-9676 and nothing more."]
+    want = {(i, "phone", t[5:]) for i, t in enumerate(phones)} | {(90 + i, "id", t[5:]) for i, t in enumerate(ids)}
+    assert numbers_of(spark, phones + ids + plain) == want | {(100, "phone", "030 99999 999"), (101, "id", "945-48-9676")}
+    assert numbers_of(spark, ["Tel. 030 12345 678"]) == {(0, "phone", "030 12345 678")}
+    # its shape is mostly one of things
+    things = [f"The order number is {8842 + i}-1190." for i in range(9)]
+    assert numbers_of(spark, [*things, "SSN: 9945-4896", "It says 7745-4896 there."]) == {(9, "id", "9945-4896")}
