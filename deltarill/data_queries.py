@@ -93,6 +93,7 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 # --- 6: a few keys holding most records
 
 P6_SHARE = 0.016
+P6_NUMBER = "[-+]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][-+]?[0-9]+)?"
 
 
 def _p6_fields(spark: SparkSession, d: str):
@@ -135,11 +136,59 @@ def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _p6_times(spark: SparkSession, d: str):
+    edges, buckets = table(spark, d, "edge_with_value"), table(spark, d, "state_bucket")
+    for key in ("src", "dst"):
+        for time in ("added_at", "ingested_at"):
+            yield f"edge_with_value.{key}", edges, key, time
+    for time in ("put_at", "removed_at"):
+        yield "state_bucket.edge_count", buckets, "edge_count", time
+
+
+def p6_times(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, distinct times, first and last time of each time column per key."""
+    return _union(
+        skew.per_key_times(skew.compress(df, key, time)).select(
+            F.lit(fld).alias("fld"), F.lit(time).alias("time_column"), F.col("key_val").cast("long").alias("key_val"), "n_rows", "n_distinct", "first", "last"
+        )
+        for fld, df, key, time in _p6_times(spark, d)
+    )
+
+
+def _p6_numbers(spark: SparkSession, d: str):
+    """Every number there is: those of an edge's field one by one, also where it holds several; labels are none."""
+    edges, buckets = table(spark, d, "edge_with_value"), table(spark, d, "state_bucket")
+    ends = edges.withColumn("ends", F.struct("src", "dst"))
+    single = packed.unpack(ends, "ends", "value").select("row_id.src", "row_id.dst", F.expr(f"CASE WHEN val rlike '^(?:{P6_NUMBER})$' THEN try_cast(val AS DOUBLE) END").alias("number"))
+    numbers = single.where("number is not null")
+    yield "edge_with_value.src", numbers, "src", "number"
+    yield "edge_with_value.dst", numbers, "dst", "number"
+    yield "state_bucket.edge_count", buckets.where("value is not null"), "edge_count", "value"
+
+
+def p6_value_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Count and sum of the numeric values per key; keys without one give no row."""
+    return _union(
+        skew.per_key_sums(skew.compress(df, key, value)).select(
+            F.lit(fld).alias("fld"), F.col("key_val").cast("long").alias("key_val"), "n_values", F.round("total", 4).alias("total")
+        )
+        for fld, df, key, value in _p6_numbers(spark, d)
+    )
+
+
+def p6_value_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles of the numeric values per key."""
+    return _union(
+        skew.per_key_percentiles(skew.compress(df, key, value), [0.5, 0.9]).select(F.lit(fld).alias("fld"), F.col("key_val").cast("long").alias("key_val"), "share", "value")
+        for fld, df, key, value in _p6_numbers(spark, d)
+    )
+
+
 _P6 = [("edge_with_value.src", "edge_with_value", "src", "dst"), ("edge_with_value.dst", "edge_with_value", "dst", "src"),
        ("state_bucket.edge_count", "state_bucket", "edge_count", "value")]
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_separators, p4_found, p4_report, p5_found, p5_loaded_edges, p5_loaded_graph,
-                                   p5_report, p6_found, p6_totals, p6_percentiles)}
+                                   p5_report, p6_found, p6_totals, p6_percentiles, p6_times, p6_value_totals, p6_value_percentiles)}
 
 ORACLES = {
     **data_sql.ORACLES,
@@ -160,6 +209,11 @@ SELECT ref_table, ref_month, CAST(sum(direct) AS BIGINT) AS direct, CAST(sum(inh
 CAST(arg_min(v, (-n, v)) FILTER (v IS NOT NULL) AS DOUBLE) AS mode, CAST(max(n) FILTER (v IS NOT NULL) AS BIGINT) AS mode_rows
 FROM (SELECT CAST({k} AS BIGINT) AS key_val, {v} AS v, count(*) AS n FROM {t} WHERE {k} IS NOT NULL GROUP BY 1, 2) GROUP BY key_val"""
         for f, t, k, v in _P6),
+    "p6_times": " UNION ALL ".join(
+        f"SELECT '{t}.{k}' AS fld, '{c}' AS time_column, CAST({k} AS BIGINT) AS key_val, count(*) AS n_rows, count(DISTINCT {c}) AS n_distinct, "
+        f"min({c}) AS first, max({c}) AS last FROM {t} WHERE {k} IS NOT NULL GROUP BY {k}"
+        for t, k, cs in (("edge_with_value", "src", ("added_at", "ingested_at")), ("edge_with_value", "dst", ("added_at", "ingested_at")),
+                         ("state_bucket", "edge_count", ("put_at", "removed_at"))) for c in cs),
     "p6_percentiles": " UNION ALL ".join(
         f"SELECT '{f}' AS fld, CAST({k} AS BIGINT) AS key_val, CAST({s} AS DOUBLE) AS share, CAST(quantile_disc({v}, {s}) AS DOUBLE) AS value "
         f"FROM {t} WHERE {k} IS NOT NULL AND {v} IS NOT NULL GROUP BY {k}" for f, t, k, v in _P6 for s in (0.5, 0.9)),

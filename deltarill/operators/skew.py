@@ -32,6 +32,20 @@ def per_key_totals(compressed: DataFrame) -> DataFrame:
     )
 
 
+def per_key_times(compressed: DataFrame) -> DataFrame:
+    """``key_val, n_rows, n_distinct, first, last``: from weighted values, nulls counting in ``n_rows`` only."""
+    return compressed.groupBy("key_val").agg(
+        F.sum("n").alias("n_rows"), F.count("value").alias("n_distinct"), F.min("value").alias("first"), F.max("value").alias("last")
+    )
+
+
+def per_key_sums(compressed: DataFrame) -> DataFrame:
+    """``key_val, n_values, total``: number and sum of the values that are not null; ``total`` is null where there is none."""
+    return compressed.groupBy("key_val").agg(
+        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("n_values"), F.sum(F.col("value") * F.col("n")).alias("total")
+    )
+
+
 def _range_of(value: Column, bounds: list) -> Column:
     """The number of bounds below ``value``, by a tree of comparisons."""
     def tree(lo: int, hi: int) -> Column:
