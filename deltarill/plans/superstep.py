@@ -118,12 +118,13 @@ class Run:
 
 
 def run_daic(prepared: DataFrame, kernel: Kernel, stop: Terminator, *, portion: float = 1.0, check_every: int = 1,
-             min_rows_for_threshold: int = 1000, exact_threshold: bool = False, limit: int = 1000) -> Run:
+             min_rows_for_threshold: int = 1000, exact_threshold: bool = False, limit: int | None = None) -> Run:
     """Rounds until ``stop``; progress is looked at every ``check_every`` rounds, as one number.
 
     With ``portion`` below 1 only the vertices of highest priority run in a round (all of them in tables of at most
     ``min_rows_for_threshold`` rows). A kernel that only improves ends when nothing is pending. Metrics hold a row per check;
-    ``updates`` are the vertices that ran in the first of its rounds.
+    ``updates`` are the vertices that ran in the first of its rounds. There is no limit of rounds unless one is given; reaching
+    it is an error, never a result.
     """
     if not 0 < portion <= 1:
         raise ValueError("portion must be in (0, 1]")
@@ -134,7 +135,9 @@ def run_daic(prepared: DataFrame, kernel: Kernel, stop: Terminator, *, portion:
 
     state, before, metrics, done = materialize(initial(prepared, kernel)), None, [], 0
     pending = looked_at(state)[1]
-    while done < limit:
+    while True:
+        if limit is not None and done >= limit:
+            raise RuntimeError(f"not ended after {done} rounds")
         held, updates = state, pending
         for _ in range(check_every if portion == 1 else 1):
             chosen = None

@@ -131,3 +131,10 @@ def test_shortest_paths_query_goes_to_the_end(spark, tmp_path):
                 best[b] = best[a] + w
     assert max(best.values()) == 39.0 and len(best) == 40
     assert {r.id: r.value for r in sssp_user_next(spark, str(tmp_path)).collect()} == best
+
+
+def test_a_limit_of_rounds_is_no_silent_end(spark):
+    prepared = superstep.prepare(edges_of(spark, [(i, i + 1) for i in range(5)]))
+    with pytest.raises(RuntimeError):
+        superstep.run_daic(prepared, algorithms.shortest_paths(0), lambda *_: False, limit=2)
+    assert superstep.run_daic.__kwdefaults__["limit"] is None
