@@ -54,6 +54,11 @@ def result(spark):
     return docs, found, len(corpus())
 
 
+@pytest.fixture(scope="module")
+def names(spark):
+    return spark.createDataFrame(NAMES, "name string, name_role string, lang string")
+
+
 @pytest.mark.parametrize("text", list(CASES))
 def test_case(result, text):
     _, found, first = result
@@ -68,14 +73,54 @@ def test_learned_name_and_long_text(result):
     assert [r.found for r in found.where(found.doc_id == first + len(CASES) + 2).collect()] == ["Percy Marsh"]
 
 
-def test_redaction(result):
+def test_redaction(spark, result, names, monkeypatch):
     docs, found, first = result
-    out = {r.doc_id: r for r in pii.redact(docs, found).collect()}
+    out = {r.doc_id: r for r in pii.redact(docs, names).collect()}
     assert len(out) == docs.count()
     at = lambda t: out[first + list(CASES).index(t)].text
     assert at("Die Nummer ist 030\n23125 661, merk sie dir.") == "Die Nummer ist [PHONE], merk sie dir."
     assert at("Herr J&ouml;rg T. wartet.") == "Herr [NAME] wartet."
     assert at("12 men stood in the lane.") == "12 men stood in the lane." and out[first + len(CASES)].text is None
+    # the pieces are those that are reported
+    want = {(r.doc_id, r.pii_type) for r in found.collect()}
+    assert {(i, k) for i, r in out.items() if r.text for k in pii.KINDS if f"[{k.upper()}]" in r.text} == want
+    # so many terms that they are not sent to the tasks
+    monkeypatch.setattr(pii, "MAX_TERMS", 1)
+    assert {r.doc_id: (r.text, r.n_pieces) for r in pii.redact(docs, names).collect()} == {i: (r.text, r.n_pieces) for i, r in out.items()}
+
+
+def test_redaction_keeps_words_whole(spark, names):
+    d = spark.createDataFrame([(1, "Percy Marsh met Percy Marshall. Percy Marsh left."), (2, "Mary. Hattie J. Marsh and J. Marsh."), (1, "Percy Marsh again")], "doc_id long, text string")
+    out = [(r.text, r.n_pieces) for r in pii.redact(d, names, cue_format=None).orderBy("doc_id", "text").collect()]
+    assert out == [("[NAME] again", 1), ("[NAME] met Percy Marshall. [NAME] left.", 2), ("Mary. [NAME] and [NAME].", 2)]
+
+
+def test_the_threshold_decides(spark, result, names):
+    docs, found, _ = result
+    key = lambda df: {(r.doc_id, r.pii_type, r.found) for r in df.collect()}
+    usual, none, all_ = key(found), key(pii.found_pieces(docs, names, threshold=float("inf"))), key(pii.found_pieces(docs, names, threshold=float("-inf")))
+    assert not none and usual < all_ | usual
+    for kind in ("name", "id", "address", "email"):  # decided by the corpus, not by form
+        assert {x for x in all_ if x[1] == kind} - usual, kind
+    assert len(all_ - usual) > 150
+
+
+def test_the_corpus_decides(spark, names):
+    """The same piece is protected in one corpus and not in another, each without a label or list of its own."""
+    def found(texts):
+        d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return {(r.doc_id, r.found) for r in pii.found_pieces(d, names, cue_format=None).collect()}
+
+    number = "It says 8842-1190 there."
+    assert (0, "8842-1190") in found([number] + [f"My phone is {1000 + i}-{2000 + i}." for i in range(5)])
+    assert (0, "8842-1190") not in found([number] + [f"The order is {1000 + i}-{2000 + i}." for i in range(5)])
+    name = "Wilmot Oakes is here."
+    known = ["Wilmot Marsh", "Wilmot Brackwell", "Wilmot Torfmeier", "Hattie Oakes", "Percy Oakes", "Will Oakes"]
+    assert (0, "Wilmot Oakes") in found([name, *known])
+    assert (0, "Wilmot Oakes") not in found([name, *known[:1], *known[3:4]])
+    street = "The taxi stopped by Hinterm Deich 9."
+    assert (0, "Hinterm Deich 9") in found([street, "Ich wohne Hinterm Deich 4.", "Ich wohne Birkenweg 3.", "Ich wohne Krähengasse 8."])
+    assert (0, "Hinterm Deich 9") not in found([street, "Ich sah Hinterm Deich 4 Leute.", "Ich wohne Birkenweg 3."])
 
 
 def test_nothing(spark):
@@ -91,7 +136,11 @@ def test_places_in_damaged_text():
     meant, at = pii.meant(text)
     assert meant == "Mäntel & Jörg" and text[at[meant.index("J")] :].startswith("J")
     ru = "Меня зовут Демьян Ветлугин, и это моя новая работа"
-    assert pii.meant(ru.encode("koi8-r").decode("cp1251"))[0] == ru
+    for n in (17, 49):  # short texts too
+        for wrong, right in (("cp1251", "koi8-r"), ("cp1252", "cp1251"), ("koi8-r", "cp1251")):
+            assert pii.meant(ru[:n].encode(right).decode(wrong))[0] == ru[:n], (n, wrong)
+    for plain in (ru, "Les élèves étaient là, à côté du hôtel où l'été brûlait déjà.", "Über die größten Bäume läuft ein Mädchen.", "œuvre ÄÖÜ éééé"):
+        assert pii.meant(plain)[0] == plain
 
 
 def numbers_of(spark, texts):
