@@ -1,13 +1,15 @@
 """Evaluation texts leaking into training text: Wu-Manber multi-pattern search over words.
 
 The patterns are all passages of ``m`` successive words of the evaluation items; the alphabet is words, brought to one form
-whatever their case, punctuation, recognition errors and encoding. A block is two words. The shift table says how far the
-search may jump when a block ends a window: ``m - 1`` words if no pattern has it, less by its place otherwise. Where the shift
-is 0, the suffix hash gives the passages that end with the block, and only these are compared word by word. So most words of
-a document are never looked up as blocks.
-
-Documents are read where they lie (no shuffle) and whole. Items are packed into tables of at most ``ITEM_WORDS`` words; more
-items mean more passes, not larger tables.
+whatever their case, punctuation, recognition errors and encoding. A block is ``BLOCK`` words. The shift table says how far the
+search may jump when a block ends a window: past the block if no pattern has it, less by its place otherwise; a word of no item
+lets it jump past the word. Where the shift is 0, the suffix hash gives the passages that end with the block, the prefix hash
+those of them that also begin as the window does, and only these are compared word by word. A block of several words is rare
+however many items there are, so a document costs about the same with few items and with many.
+
+Documents are read where they lie (no shuffle), whole and once. Items are packed into tables of at most ``ITEM_WORDS`` words,
+which are built one at a time and sent to the executors as files; a task holds one table at a time and goes over its documents
+with each. A word is what stands between blanks: text without blanks has no passages.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ from pyspark.sql import functions as F
 
 #: successive words that make a leak
 MIN_WORDS = 12
-#: words of evaluation text in one pass over the documents; bounds what each task is sent
+#: words of a block
+BLOCK = 4
+#: words of evaluation text in one table; bounds what a task holds
 ITEM_WORDS = 500_000
+#: signs of text that a task keeps while it changes tables, where there is more than one
+KEPT_SIGNS = 64_000_000
 #: words whose form a task remembers
 _REMEMBERED = 400_000
 
@@ -37,7 +43,8 @@ _SAME_FORM = {
 # fixed values: Latin letters and digits that stand for Cyrillic ones
 _CYRILLIC_FORM = str.maketrans("aeopcxykmhtb03641", "аеорсхукмнтвозбчл")
 _TIME = re.compile(r"-->|^\s*\d+\s*$|^\s*(?:WEBVTT|NOTE|STYLE)\b")
-_MARKUP = re.compile(r"<[^<>\n]{0,200}>|\{[^{}\n]{0,80}\}|\[[^\[\]]{0,200}\]|\([^()]{0,200}\)|♪[^♪\n]*♪|\*[^*\n]{1,80}\*|^[ \t]*[-–]?[ \t]*[?�] [^\n]*[?�][ \t]*$", re.M)
+# the sign \x1e stands between cues, which markup does not cross
+_MARKUP = re.compile(r"<[^<>\n\x1e]*>|\{[^{}\n\x1e]*\}|\[[^\[\]\x1e]*\]|\([^()\x1e]*\)|♪[^♪\n\x1e]*♪|\*[^*\n\x1e]+\*|^[ \t]*[-–]?[ \t]*[?�] [^\n]*[?�][ \t]*$", re.M)
 _LABEL = re.compile(r"^[ \t]*(?:[-–—][ \t]*)?(?:[A-ZÀ-ÞА-ЯЁ][A-ZÀ-ÞА-ЯЁ .'#0-9-]{1,30}|[A-ZÀ-ÞА-ЯЁ][a-zà-ÿа-яё]+(?: #?\d+)?):(?=\s)", re.M)
 _HIGH = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 192))
 _UTF8_RUN = re.compile("(?:[Â-ô][" + re.escape(_HIGH) + "\u0080-¿]{1,3})+")
@@ -85,7 +92,7 @@ def spoken(text: str, cue_format: str | None = None) -> str:
     text = readable(text).replace("\r\n", "\n").replace("\r", "\n").replace("﻿", "")
     if cue_format == "sub" or (cue_format is None and text[:1] == "{"):
         text = text.replace("|", "\n")
-    kept = "\n".join(line for line in text.split("\n") if not _TIME.search(line))
+    kept = "\n".join("\x1e" if _TIME.search(line) else line for line in text.split("\n")).replace("\n\n", "\n\x1e\n")
     return _LABEL.sub(" ", _MARKUP.sub(" ", kept))
 
 
@@ -127,26 +134,29 @@ def item_words(text: str) -> list[str]:
 
 
 class Tables:
-    """Shift table, suffix hash and word numbers of one set of items."""
+    """Shift table, suffix and prefix hash, and word numbers of one set of items."""
 
     def __init__(self, items: Iterable[tuple[object, list[str]]], m: int = MIN_WORDS):
         self.m = m
+        self.block = max(1, min(BLOCK, m // 2))
         self.number: dict[str, int] = {}
-        self.shift: dict[int, int] = {}
-        self.ends: dict[int, list[tuple[int, int]]] = {}
-        self.items: list[tuple[object, list[int]]] = []
+        self.shift: dict[tuple, int] = {}
+        # by last and first block, the passages there are, each with the items that hold it
+        self.ends: dict[tuple, dict[tuple, dict[tuple, list]]] = {}
+        b = self.block
         for item, words in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words]
+            ids = tuple(self.number.setdefault(w, len(self.number) + 1) for w in words)
             if len(ids) < m:
                 continue
-            at = len(self.items)
-            self.items.append((item, ids))
-            for start in range(len(ids) - m + 1):
-                for j in range(1, m):
-                    block = ids[start + j - 1] << 32 | ids[start + j]
-                    if m - 1 - j < self.shift.get(block, m - 1):
-                        self.shift[block] = m - 1 - j
-                self.ends.setdefault(ids[start + m - 2] << 32 | ids[start + m - 1], []).append((at, start))
+            for end in range(b, len(ids) + 1):
+                at, jump = ids[end - b : end], max(0, m - end)  # a passage ends here, or the first one does later
+                if jump < self.shift.get(at, m):
+                    self.shift[at] = jump
+                if not jump:
+                    w = ids[end - m : end]
+                    held = self.ends.setdefault(at, {}).setdefault(w[:b], {}).setdefault(w, [])
+                    if not held or held[-1] != item:
+                        held.append(item)
         self.known: dict[str, int] = {}
 
     def __getstate__(self):
@@ -177,20 +187,23 @@ class Tables:
 
     def search(self, ids: list[int]) -> set:
         """The items that have a passage of ``m`` words in common with the text."""
-        m, shift, ends, items, most = self.m, self.shift, self.ends, self.items, self.m - 1
+        m, b, shift, ends = self.m, self.block, self.shift, self.ends
+        most = m - b + 1
         found: set = set()
-        pos, n = m - 1, len(ids)
-        while pos < n:
-            block = ids[pos - 1] << 32 | ids[pos]
+        pos, n = m, len(ids)  # the window ends before pos
+        while pos <= n:
+            if not ids[pos - 1]:
+                pos += m
+                continue
+            block = tuple(ids[pos - b : pos])
             jump = shift.get(block, most)
             if jump:
                 pos += jump
                 continue
-            window = ids[pos - m + 1 : pos + 1]
-            for at, start in ends[block]:
-                item, own = items[at]
-                if own[start : start + m] == window:
-                    found.add(item)
+            window = tuple(ids[pos - m : pos])
+            by_prefix = ends[block].get(window[:b])
+            if by_prefix:
+                found.update(by_prefix.get(window, ()))
             pos += 1
         return found
 
@@ -216,23 +229,42 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     Null and empty texts hold nothing; an item of fewer words cannot be found; an empty table gives no row. Items with the same
     text are all reported. Two rows of the same document id each report theirs.
     """
+    if min_words < 1:
+        raise ValueError("min_words must be positive")
     out_schema = f"doc_id {dict(docs.dtypes)[doc_id]}, item_id {dict(items.dtypes)[item_id]}"
     cols = [F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.col(cue_format) if cue_format else F.lit(None).cast("string")).alias("fmt")]
     source = docs.where(F.col(text).isNotNull()).select(*cols)
-    out = None
-    for block in _blocks(items, item_id, item_text):
-        tables = Tables(block, min_words)
-
-        def scan(batches: Iterator[pd.DataFrame], tables: Tables = tables) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                hits = [
-                    (d, i) for d, t, f in zip(b["doc_id"], b["text"], b["fmt"]) for i in sorted(tables.search(tables.ids(spoken(t, f))), key=str)
-                ]
-                yield pd.DataFrame({"doc_id": [h[0] for h in hits], "item_id": [h[1] for h in hits]})
-
-        one = source.mapInPandas(scan, out_schema)
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else docs.sparkSession.createDataFrame([], out_schema)
+    # each table has at most ITEM_WORDS words; the driver keeps their files, not the tables
+    tables = [docs.sparkSession.sparkContext.broadcast(Tables(block, min_words)) for block in _blocks(items, item_id, item_text)]
+    if not tables:
+        return docs.sparkSession.createDataFrame([], out_schema)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[object, str]] = []
+
+        def searched() -> pd.DataFrame:
+            hits = []
+            for t in tables:
+                table = t.value
+                hits += [(d, i) for d, words in held for i in sorted(table.search(table.ids(words)), key=str)]
+                if len(tables) > 1:  # one table in memory at a time; the file stays
+                    del table
+                    t.__dict__.pop("_value", None)
+            held.clear()
+            return pd.DataFrame({"doc_id": [h[0] for h in hits], "item_id": [h[1] for h in hits]})
+
+        size = 0
+        for b in batches:
+            for d, t, f in zip(b["doc_id"], b["text"], b["fmt"]):
+                held.append((d, spoken(t, f)))
+                size += len(t)
+            if len(tables) == 1 or size >= KEPT_SIGNS:
+                yield searched()
+                size = 0
+        if held:
+            yield searched()
+
+    return source.mapInPandas(scan, out_schema)
 
 
 def leaked_items(found: DataFrame, items: DataFrame, item_id: str = "item_id") -> DataFrame:

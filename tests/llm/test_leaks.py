@@ -17,9 +17,10 @@ def test_search_like_brute_force(seed):
     words = [f"w{i}" for i in range(4)]
     items = [(i, [leaks.form(r.choice(words)) for _ in range(r.randrange(3, 9))]) for i in range(4)]
     text = [r.choice(words) for _ in range(40)]
-    t = leaks.Tables(items, 4)
+    m = r.choice([1, 2, 4, 5])
+    t = leaks.Tables(items, m)
     forms = [leaks.form(w) for w in text]
-    want = {i for i, ws in items if any(ws[a : a + 4] == forms[b : b + 4] for a in range(len(ws) - 3) for b in range(37))}
+    want = {i for i, ws in items if any(ws[a : a + m] == forms[b : b + m] for a in range(len(ws) - m + 1) for b in range(41 - m))}
     assert t.search(t.ids(" ".join(text))) == want
 
 
@@ -68,3 +69,29 @@ def test_edge_cases(spark):
 def test_many_items_take_more_passes(spark, monkeypatch):
     monkeypatch.setattr(leaks, "ITEM_WORDS", 5)
     assert found(spark, [(ITEM, "srt"), (GERMAN, "srt")]) == [(0, 10), (1, 11)]
+    monkeypatch.setattr(leaks, "KEPT_SIGNS", 5)
+    assert found(spark, [(ITEM, "srt"), (GERMAN, "srt"), ("x", None), (ITEM, "srt")]) == [(0, 10), (1, 11), (3, 10)]
+
+
+def test_long_markup_goes_and_open_brackets_stay():
+    long = "[" + "a sound " * 60 + "]"
+    assert leaks.spoken(f"1\n00:00:01,000 --> 00:00:02,000\n{long} stays\n\n2\n00:00:03,000 --> 00:00:04,000\nthis [ too\n\n3\nand ] this").split() == "stays this [ too and ] this".split()
+
+
+def test_many_words_cost_about_the_same():
+    """Compared windows per document do not grow with the number of item words, though the words are the same few thousand."""
+    r = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    weights = [1 / (i + 1) for i in range(3000)]
+    docs = [r.choices(vocabulary, weights, k=400) for _ in range(30)]
+    steps = {}
+    for n in (12_000, 200_000):
+        t = leaks.Tables([(0, [leaks.form(w) for w in r.choices(vocabulary, weights, k=n)])])
+        looked = 0
+        for d in docs:
+            ids = t.ids(" ".join(d))
+            for pos in range(leaks.MIN_WORDS, len(ids) + 1):
+                by_prefix = t.ends.get(tuple(ids[pos - t.block : pos]), {})
+                looked += len(by_prefix.get(tuple(ids[pos - t.m : pos - t.m + t.block]), ()))
+        steps[n] = looked
+    assert steps[200_000] <= 30 * 400 // 100
