@@ -3,8 +3,11 @@
 Values are hashed to 64 bits. A round counts the rows under each hash prefix; a prefix whose rows are fewer than a lower
 bound of what is asked cannot hold a wanted value and is dropped; the remaining prefixes are lengthened, and when they are
 long enough the full values under them are counted. Each round is one scan of one column with a map-side aggregate, so
-what is held and shuffled is bounded by ``2 ** STEP_BITS`` groups per kept prefix, never by the number of distinct values.
-Counts are exact.
+what is held and shuffled is bounded by ``2 ** STEP_BITS`` groups per kept prefix. Counts are exact.
+
+Few kept prefixes are a condition of the next scan; more of them stay a table in the shared folder, which the scan is joined
+with, so what the driver holds is bounded whatever the distribution. Where nearly all values are equally frequent no prefix can
+be dropped: the aggregates then spill to disk, as those of any exact count do.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deltarill.session import materialize, release
+
 #: bits of the first prefix, and by how much a round lengthens it
 FIRST_BITS = 14
 STEP_BITS = 12
@@ -19,6 +24,8 @@ STEP_BITS = 12
 LAST_BITS = 26
 #: a first lower bound for top-k comes from the exact counts of this many candidates taken from the fullest prefixes
 CANDIDATES_PER_K = 4
+#: kept prefixes that the driver reads and writes into the next scan as a condition
+LISTED = 1_000
 
 
 def _prefix(h: Column, bits: int) -> Column:
@@ -34,19 +41,24 @@ def _within(hashed: DataFrame, kept: list[int], bits: int) -> DataFrame:
 
 
 def refine(df: DataFrame, column: str, at_least: float) -> DataFrame:
-    """``item, n``: every value with at least ``at_least`` rows, with its exact count.
+    """``item, n``: every value with at least ``at_least`` rows, with its exact count. Nulls are left out.
 
-    At most ``rows / at_least`` prefixes can be kept in a round, which is what bounds the driver's list and the groups of
-    the next round; the caller must keep that ratio bounded (a share of the rows, or the k-th count). Nulls are left out.
+    At most ``rows / at_least`` prefixes are kept in a round.
     """
     hashed = _hashed(df, column)
-    bits, kept = 0, None
+    rows, bits, table = hashed, 0, None
     while bits < LAST_BITS:
-        last, bits = bits, min(LAST_BITS, bits + STEP_BITS if bits else FIRST_BITS)
-        rows = hashed if kept is None else _within(hashed, kept, last)
-        full = rows.groupBy(_prefix(F.col("h"), bits).alias("p")).agg(F.count("*").alias("n")).where(F.col("n") >= F.lit(at_least))
-        kept = [r.p for r in full.select("p").collect()]
-    return _within(hashed, kept, bits).groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= F.lit(at_least))
+        bits = min(LAST_BITS, bits + STEP_BITS if bits else FIRST_BITS)
+        full = rows.groupBy(_prefix(F.col("h"), bits).alias("p")).agg(F.count("*").alias("n")).where(F.col("n") >= F.lit(at_least)).select("p")
+        few = full.limit(LISTED + 1).collect()
+        if len(few) <= LISTED:
+            rows = _within(hashed, [r.p for r in few], bits)
+        else:
+            last, table = table, materialize(full)
+            rows = hashed.join(table, _prefix(F.col("h"), bits) == F.col("p"), "left_semi")
+            if last is not None:
+                release(last)
+    return rows.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= F.lit(at_least))
 
 
 def items_over_share(df: DataFrame, column: str, share: float) -> DataFrame:
@@ -88,10 +100,6 @@ def top_items(df: DataFrame, column: str, k: int) -> DataFrame:
     """
     if k < 1:
         raise ValueError("k must be positive")
-    bound = _kth_lower_bound(df, column, k)
-    if bound <= 1:  # nearly all values are rare: there is no prefix to drop
-        counted = _hashed(df, column).groupBy("item").agg(F.count("*").alias("n"))
-    else:
-        counted = refine(df, column, bound)
+    counted = materialize(refine(df, column, _kth_lower_bound(df, column, k)))
     kth = counted.orderBy(F.desc("n")).limit(k).agg(F.min("n")).first()[0]
     return counted.where(F.col("n") >= F.lit(kth if kth is not None else 0))

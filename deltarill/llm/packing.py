@@ -1,9 +1,12 @@
 """Filling fixed-capacity containers with items: hierarchical residual packing.
 
 Each partition packs its own items best-fit in decreasing size and emits the containers that are nearly full. The others
-travel on as items of their filled size: a round merges ``FAN_IN`` partitions into one and packs again, until one partition
-is left. Items themselves are shuffled once and never gathered; only underfull containers climb the tree, and only their
-ids and sizes.
+travel on as items of their filled size: a round merges the underfull containers of ``FAN_IN`` partitions into one node and packs
+again, until one node is left. Containers are spread over the nodes of a round by a hash, so each node sees a mixture of them,
+and a round has as many nodes as keep each at about ``NODE`` containers: where very many stay underfull (items that are all larger
+than half a container, say) the tree is as wide as they need, none is set aside, and it ends when a round as wide as the last
+saves next to nothing. Items themselves are shuffled once and never gathered; only underfull containers climb the tree, and
+only their ids and sizes.
 
 An item larger than the capacity is cut into full pieces and a remainder, which is packed like any other item.
 """
@@ -18,19 +21,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deltarill.session import materialize
+from deltarill.session import materialize, release
 
 #: partitions merged into one by a round
 FAN_IN = 8
 #: a container is nearly full from this share of its capacity on
 NEARLY_FULL = 0.999
-#: items that are worth a partition of their own: fewer pack worse
+#: items of a partition of the lowest level, on average; there are at least two partitions
 PARTITION_ITEMS = 50_000
-#: items a partition packs at a time; several such blocks share a task
+#: items a partition packs at a time, where it is given more
 BLOCK = 100_000
-#: emptiest containers a partition hands on to the next round; the fuller ones stay as they are, so no task ever gathers more
-#: than FAN_IN times as many
-CARRY = 50_000
+#: underfull containers of a node, on average
+NODE = 50_000
+#: share of the underfull containers that a round must save to be followed by one as wide
+WORTH = 0.001
 #: pieces of one item that one row is unfolded to at a time
 _RUN = 10_000
 
@@ -119,35 +123,40 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int, partitions: i
     Containers of full pieces hold nothing else. Items of size 0 take no room but are put somewhere. An item with a null or
     negative size has no place: one row with null ``piece``, ``size`` and ``container_id``. Repeated rows are separate items
     and come out as often as they went in. An empty table gives no row. The result is the same for the same partitioning.
-    Unless told otherwise, there is a partition for ``PARTITION_ITEMS`` pieces, at most as many as ``spark.sql.shuffle.partitions``.
+    Unless told otherwise, there is a partition for ``PARTITION_ITEMS`` pieces, and two at least.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    spark = items.sparkSession
     cut = pieces(items, item_id, size, capacity)
-    parts = partitions or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cut.count() // PARTITION_ITEMS)))
+    parts = partitions or max(2, -(-cut.count() // PARTITION_ITEMS))
     # by the place in the input, so that neither equal ids nor equal sizes gather; the place is the same when a task runs again
     spread = cut.withColumn("place", F.monotonically_increasing_id()).repartition(parts, "place").drop("place")
     local = spread.withColumn("part", F.spark_partition_id()).withColumn("bin", F.lit(0).cast("long")).withColumn("fill", F.lit(0).cast("long"))
     level = materialize(local.mapInPandas(_packer(capacity), _SCHEMA))
-    steps = []  # per round: the underfull containers of the round before, and where they went
-    bins = level
-    while True:
-        if parts == 1:
-            break
-        under = bins.where(F.col("fill") < F.lit(NEARLY_FULL * capacity)).select("part", "bin", "fill").distinct()
-        emptiest = F.row_number().over(Window.partitionBy("part").orderBy("fill", "bin"))
-        under = under.withColumn("rank", emptiest).where(F.col("rank") <= CARRY)
-        parts = -(-parts // FAN_IN)
+    steps: list[DataFrame] = []  # per round: the underfull containers of the round before, and where they went
+    under, n = _underfull(level, capacity)
+    single = False
+    while n > 1 and not single:
+        wide = max(-(-parts // FAN_IN), -(-n // NODE))
         up = under.select(
             F.col("part").alias("from_part"), F.col("bin").alias("from_bin"), F.col("fill").alias("size"),
-            F.floor(F.col("part") / FAN_IN).cast("int").alias("part"),
+            F.pmod(F.xxhash64("part", "bin", F.lit(len(steps))), F.lit(wide)).cast("int").alias("part"),
         )
-        packed = up.repartition(parts, "part").groupBy("part").applyInPandas(_merger(capacity), "from_part int, from_bin long, part int, bin long, fill long")
-        step = materialize(packed)
-        steps.append(step)
-        bins = step
-    return _numbered(items, item_id, size, level, steps)
+        packed = up.repartition(wide, "part").groupBy("part").applyInPandas(_merger(capacity), "from_part int, from_bin long, part int, bin long, fill long")
+        steps.append(materialize(packed))
+        saved = n - steps[-1].select("part", "bin").distinct().count()
+        single = wide == 1 or (wide >= parts and saved < WORTH * n)
+        parts = wide
+        under, n = _underfull(steps[-1], capacity)
+    final = materialize(_placed(level, steps))
+    for t in (level, *steps):
+        release(t)
+    return _dense(items, item_id, size, final)
+
+
+def _underfull(bins: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    under = bins.where(F.col("fill") < F.lit(NEARLY_FULL * capacity)).select("part", "bin", "fill").distinct()
+    return under, under.count()
 
 
 def _merger(capacity: int):
@@ -159,9 +168,9 @@ def _merger(capacity: int):
     return merge
 
 
-def _numbered(items: DataFrame, item_id: str, size: str, level: DataFrame, steps: list[DataFrame]) -> DataFrame:
-    """Follow each local container to the one it ended in, and number the final ones from 1 on without gaps."""
-    where = None  # from (round, part, bin) of underfull containers to the final (round, part, bin), built from the top down
+def _placed(level: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """``row, piece, size, r, p, b``: follow each local container to the round, node and number it ended in."""
+    where = None  # from (part, bin) of underfull containers to the final (round, part, bin), built from the top down
     for r in range(len(steps) - 1, -1, -1):
         s = steps[r].select("from_part", "from_bin", F.col("part").alias("p"), F.col("bin").alias("b"))
         if where is None:
@@ -171,16 +180,12 @@ def _numbered(items: DataFrame, item_id: str, size: str, level: DataFrame, steps
             where = s.join(up, ["p", "b"], "left").select(
                 "from_part", "from_bin", F.coalesce("r2", F.lit(r + 1)).alias("r"), F.coalesce("p2", "p").alias("p"), F.coalesce("b2", "b").alias("b")
             )
-    rows = level
     if where is None:
-        final = rows.select("row", "piece", "size", F.lit(0).alias("r"), F.col("part").alias("p"), F.col("bin").alias("b"))
-    else:
-        up = where.select(F.col("from_part").alias("part"), F.col("from_bin").alias("bin"), "r", F.col("p").alias("p2"), F.col("b").alias("b2"))
-        final = rows.join(up, ["part", "bin"], "left").select(
-            "row", "piece", "size", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("p2", "part").alias("p"), F.coalesce("b2", "bin").alias("b")
-        )
-    final = materialize(final)
-    return _dense(items, item_id, size, final)
+        return level.select("row", "piece", "size", F.lit(0).alias("r"), F.col("part").alias("p"), F.col("bin").alias("b"))
+    up = where.select(F.col("from_part").alias("part"), F.col("from_bin").alias("bin"), "r", F.col("p").alias("p2"), F.col("b").alias("b2"))
+    return level.join(up, ["part", "bin"], "left").select(
+        "row", "piece", "size", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("p2", "part").alias("p"), F.coalesce("b2", "bin").alias("b")
+    )
 
 
 def _dense(items: DataFrame, item_id: str, size: str, final: DataFrame) -> DataFrame:
@@ -204,6 +209,27 @@ def _dense(items: DataFrame, item_id: str, size: str, final: DataFrame) -> DataF
     return placed.unionByName(nothing)
 
 
+def check(packed: DataFrame, items: DataFrame, item_id: str, size: str, capacity: int) -> DataFrame:
+    """One row on whether a packing is one: ``n_items, n_pieces, total_size, least_containers`` and the faults ``overfull``
+    (containers beyond the capacity), ``gaps`` (container numbers that are not used), ``wrong_size`` (item ids whose pieces do not add up
+    to their sizes) and ``split`` (pieces beyond those an item must be cut into); ``near_least`` is whether there are at most 1% and
+    two containers more than the least possible.
+    """
+    p = packed.where("container_id is not null")
+    bins = p.groupBy("container_id").agg(F.sum("size").alias("fill")).agg(
+        F.count_if(F.col("fill") > capacity).alias("overfull"), (F.coalesce(F.max("container_id"), F.lit(0)) - F.count("*")).alias("gaps"), F.count("*").alias("n"))
+    got = p.groupBy("item_id").agg(F.sum("size").alias("got"), F.count("*").alias("pieces"))
+    whole = F.col(size).cast("long")
+    asked = items.where(whole >= 0).groupBy(F.col(item_id).cast("long").alias("item_id")).agg(
+        F.sum(whole).alias("asked"), F.count("*").alias("n_rows"), F.sum(F.greatest(F.ceil(whole / capacity), F.lit(1))).alias("least"))
+    both = asked.join(got, "item_id", "full_outer").agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_items"), F.coalesce(F.sum("least"), F.lit(0)).alias("n_pieces"), F.coalesce(F.sum("asked"), F.lit(0)).alias("total_size"),
+        F.count_if(~F.col("asked").eqNullSafe(F.col("got"))).alias("wrong_size"), F.count_if(~F.col("least").eqNullSafe(F.col("pieces"))).alias("split"))
+    one = both.withColumn("one", F.lit(1)).join(bins.withColumn("one", F.lit(1)), "one")  # of one row each
+    least = F.ceil(F.col("total_size") / capacity)
+    return one.select("n_items", "n_pieces", "total_size", least.alias("least_containers"), "overfull", "gaps", "wrong_size", "split", (F.col("n") <= 1.01 * least + 2).alias("near_least"))
+
+
 def report(packed: DataFrame, capacity: int) -> DataFrame:
     """``n_items, n_pieces, total_size, n_containers, least_containers, unused_share``: one row.
 

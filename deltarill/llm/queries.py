@@ -48,6 +48,18 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return _union(packing.report(p, c).withColumn("item_table", F.lit(name)) for name, c, p in _packed(spark, d))
 
 
+@query
+def p1_check(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of the items and the faults of their packing, of which there are none."""
+    return _union(
+        packing.check(p, table(spark, d, name), *_PACKED[name], c).withColumn("item_table", F.lit(name)) for name, c, p in _packed(spark, d))
+
+
+ORACLES["p1_check"] = " UNION ALL ".join(f"""SELECT '{name}' AS item_table, CAST(count(*) AS BIGINT) AS n_items, CAST(coalesce(sum(greatest(ceil({size} / capacity), 1)), 0) AS BIGINT) AS n_pieces,
+CAST(coalesce(sum({size}), 0) AS BIGINT) AS total_size, CAST(ceil(coalesce(sum({size}), 0) / max(capacity)) AS BIGINT) AS least_containers, 0::BIGINT AS overfull, 0::BIGINT AS gaps, 0::BIGINT AS wrong_size, 0::BIGINT AS split, true AS near_least
+FROM {name}, pack_limits WHERE item_table = '{name}' AND {size} >= 0""" for name, (_, size) in _PACKED.items())
+
+
 # --- 2: most frequent items
 
 P2_SHARE = 0.004

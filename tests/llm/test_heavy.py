@@ -36,3 +36,19 @@ def test_few_values_strings_and_nothing(spark, rows):
     assert rows(heavy.top_items(df, "v", 1)) == [("a", 2)]
     empty = df.limit(0)
     assert heavy.top_items(empty, "v", 3).count() == 0 and heavy.items_over_share(empty, "v", 0.5).count() == 0
+
+
+def test_nearly_flat_values_do_not_reach_the_driver(spark, rows, monkeypatch):
+    k, distinct = 10, 60_000
+    df = spark.range(distinct * 3).select((F.col("id") % distinct).alias("v"))
+    df = df.unionByName(spark.range(200).select((F.col("id") % 20 + 5).alias("v")))  # twenty values have ten rows more
+    seen = []
+    cls = type(df)
+    collect = cls.collect
+    monkeypatch.setattr(cls, "collect", lambda self: seen.append(len(r := collect(self))) or r)
+    out = heavy.top_items(df, "v", k)
+    monkeypatch.undo()
+    assert rows(out) == sorted([(v, 13) for v in range(5, 25)], key=repr)
+    assert seen and max(seen) <= max(heavy.LISTED + 1, heavy.CANDIDATES_PER_K * k, 64)
+    # every value once: all are tied
+    assert heavy.top_items(spark.range(5000).select(F.col("id").alias("v")), "v", 3).count() == 5000

@@ -57,8 +57,29 @@ def test_repeated_rows_and_empty_table(spark, rows):
         packing.pack(df, "id", "size", 0)
 
 
-def test_a_task_hands_on_a_bounded_number(spark, monkeypatch):
-    monkeypatch.setattr(packing, "CARRY", 3)
-    items = [(i, 60) for i in range(200)]
+def test_many_underfull_containers_stay_in_the_tree(spark, monkeypatch):
+    """Items of more than half a container, as many as need several nodes, and as many that fit with them: none is set aside."""
+    monkeypatch.setattr(packing, "NODE", 40)
+    items = [(i, 60) for i in range(300)] + [(1000 + i, 40) for i in range(300)]
+    df = spark.createDataFrame(items, "id long, size int").repartition(1).orderBy("id")
+    n = check([tuple(x) for x in packing.pack(df, "id", "size", 100, 10).collect()], items, 100)
+    assert n <= 315
+    only = items[:300]
+    assert check([tuple(x) for x in packing.pack(spark.createDataFrame(only, "id long, size int"), "id", "size", 100, 10).collect()], only, 100) == 300
+
+
+def test_blocks_of_one_partition_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 7)
+    items = [(i, 10 + i % 37) for i in range(300)]
     df = spark.createDataFrame(items, "id long, size int")
-    assert check([tuple(x) for x in packing.pack(df, "id", "size", 100, 10).collect()], items, 100) == 200
+    assert check([tuple(x) for x in packing.pack(df, "id", "size", 100, 1).collect()], items, 100) <= 1.12 * sum(s for _, s in items) / 100
+
+
+def test_check_finds_faults(spark):
+    items = spark.createDataFrame([(1, 60), (2, 50), (3, 250), (4, None)], "id long, size int")
+    good = packing.check(packing.pack(items, "id", "size", 100), items, "id", "size", 100).first()
+    assert tuple(good) == (3, 5, 360, 4, 0, 0, 0, 0, True)
+    bad = spark.createDataFrame([(1, 1, 60, 1), (2, 1, 50, 1), (3, 1, 100, 2), (3, 2, 100, 5)], "item_id long, piece int, size long, container_id long")
+    assert tuple(packing.check(bad, items, "id", "size", 100).first()) == (3, 5, 360, 4, 1, 2, 1, 1, True)
+    none = items.limit(0)
+    assert tuple(packing.check(packing.pack(none, "id", "size", 100), none, "id", "size", 100).first()) == (0, 0, 0, 0, 0, 0, 0, 0, True)
