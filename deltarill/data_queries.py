@@ -54,13 +54,30 @@ def _references(spark: SparkSession, d: str) -> list[orphans.Reference]:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphan_rows(_references(spark, d)).where("kind = 'direct'").select("ref_table", "ref_month", "row_id")
+    """Level 0 of the cascade, which asks for no more here."""
+    return orphans.orphan_rows(_references(spark, d), cascade=False).select("ref_table", "ref_month", "row_id")
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(orphans.orphan_rows(_references(spark, d)))
 
 
+def p4_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Three steps down: an adjacency line refers to its vertex, a neighbour listed in it to the line, the weight of a neighbour to the
+    neighbour. What hangs on an orphaned line is orphaned with it, one level a step."""
+    lines = table(spark, d, "input_graph").withColumn("id", F.col("line_no").cast("string"))
+    buckets = orphans.Presence(table(spark, d, "state_bucket"), "k", "put_at", "removed_at")
+    values = packed.unpack(lines.withColumn("line", F.struct("id", "loaded_at")), "line", "dst", declared="edge_count", layout=GRAPH_LAYOUT)
+    listed = values.select(F.col("row_id.id").alias("line"), F.col("row_id.loaded_at").alias("loaded_at"), F.concat_ws(":", "row_id.id", F.col("pos").cast("string")).alias("id"), "val")
+    weights = listed.where(F.col("val").contains(",")).select(F.col("id").alias("neighbour"), F.concat("id", F.lit(":w")).alias("id"), "loaded_at")
+    found = orphans.orphan_rows([
+        orphans.Reference("weight", weights, "id", "loaded_at", "neighbour", "neighbour", "id"),
+        orphans.Reference("neighbour", listed, "id", "loaded_at", "line", "line", "id"),
+        orphans.Reference("line", lines, "id", "loaded_at", "src", buckets),
+    ])
+    return found.groupBy("ref_table", "ref_month", "kind", "level").agg(F.count("*").alias("n_rows"))
+
+
 P4_DIRECT = """
 SELECT 'edge_with_value' AS ref_table, strftime(ingested_at, '%Y-%m') AS ref_month, edge_id AS row_id, src AS own_key
 FROM edge_with_value e WHERE dst IS NOT NULL AND NOT EXISTS (
@@ -187,7 +204,7 @@ def p6_value_percentiles(spark: SparkSession, d: str) -> DataFrame:
 _P6 = [("edge_with_value.src", "edge_with_value", "src", "dst"), ("edge_with_value.dst", "edge_with_value", "dst", "src"),
        ("state_bucket.edge_count", "state_bucket", "edge_count", "value")]
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_separators, p4_found, p4_report, p5_found, p5_loaded_edges, p5_loaded_graph,
+QUERIES = {f.__name__: f for f in (p3_found, p3_separators, p4_found, p4_report, p4_cascade, p5_found, p5_loaded_edges, p5_loaded_graph,
                                    p5_report, p6_found, p6_totals, p6_percentiles, p6_times, p6_value_totals, p6_value_percentiles)}
 
 ORACLES = {
@@ -201,6 +218,12 @@ inherited AS (SELECT strftime(ingested_at, '%Y-%m') AS ref_month FROM edge_with_
   WHERE src IN (SELECT src FROM lines WHERE n = gone) AND edge_id NOT IN (SELECT row_id FROM direct WHERE ref_table = 'edge_with_value')),
 allrows AS (SELECT ref_table, ref_month, 1 AS direct, 0 AS inherited FROM direct UNION ALL SELECT 'edge_with_value', ref_month, 0, 1 FROM inherited)
 SELECT ref_table, ref_month, CAST(sum(direct) AS BIGINT) AS direct, CAST(sum(inherited) AS BIGINT) AS inherited FROM allrows GROUP BY 1, 2""",
+    "p4_cascade": data_sql.PACKED.rsplit("SELECT", 1)[0] + f""", direct AS ({P4_DIRECT}),
+gone AS (SELECT row_id AS line_no, ref_month FROM direct WHERE ref_table = 'input_graph'),
+neighbour AS (SELECT ref_month, v FROM clean JOIN gone ON clean.row_id = gone.line_no WHERE clean.ref_table = 'input_graph' AND v <> ''),
+allrows AS (SELECT 'line' AS ref_table, ref_month, 'direct' AS kind, 0 AS level FROM gone UNION ALL SELECT 'neighbour', ref_month, 'inherited', 1 FROM neighbour
+  UNION ALL SELECT 'weight', ref_month, 'inherited', 2 FROM neighbour WHERE contains(v, '~'))
+SELECT ref_table, ref_month, kind, level, count(*) AS n_rows FROM allrows GROUP BY ALL""",
     "p6_found": " UNION ALL ".join(
         f"SELECT '{f}' AS fld, CAST({k} AS BIGINT) AS key_val FROM {t} WHERE {k} IS NOT NULL GROUP BY {k} "
         f"HAVING count(*) >= {P6_SHARE} * (SELECT count({k}) FROM {t})" for f, t, k, _ in _P6),

@@ -35,3 +35,8 @@ def histogram_text(hist: DataFrame) -> DataFrame:
 def merge_stats(*stats: DataFrame) -> DataFrame:
     """``key, value``: the sum per key over all tables; null values count as 0."""
     return reduce(DataFrame.unionByName, stats).groupBy("key").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
+
+
+def uniform(low: float = 0.0, high: float = 1.0, seed: int | None = None) -> Column:
+    """A random number from ``low`` up to ``high``; the same in every run for a seed and a partitioning."""
+    return F.lit(low) + F.rand(seed) * F.lit(high - low)

@@ -38,13 +38,21 @@ def find_bounded(s: Column, needle: str, length: int) -> Column:
     return F.instr(F.substring(s, 1, length), needle) - 1
 
 
+#: fixed values: what a whole number and a number are written like
+INTEGER, NUMBER = r"\A[-+]?[0-9]+\z", r"\A[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\z"
+
+
 def parse(s: Column, kind: str) -> Column:
-    """``int, unsigned, long, short, float, double``: the number or null; ``char``: the first sign; ``bool``: whether it is 1."""
+    """``int, unsigned, long, short, float, double``: the number, or null where the text is none or out of range; ``char``: the first sign;
+    ``bool``: whether it is 1. A null text is null in all of them but ``bool``, where it is false."""
     if kind == "char":
         return F.substring(s, 1, 1)
+    whole = F.when(s.rlike(INTEGER), s)
     if kind == "bool":
-        return F.coalesce(s.try_cast("int") == 1, F.lit(False))
+        return F.coalesce(whole.try_cast("int") == 1, F.lit(False))
     if kind == "unsigned":
-        n = s.try_cast("long")
+        n = whole.try_cast("long")
         return F.when((n >= 0) & (n <= 4294967295), n)
-    return s.try_cast({"short": "smallint", "long": "bigint"}.get(kind, kind))
+    if kind in ("float", "double"):
+        return F.when(s.rlike(NUMBER), s).try_cast(kind)
+    return whole.try_cast({"short": "smallint", "long": "bigint"}.get(kind, kind))

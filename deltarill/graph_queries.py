@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltarill import graph
+from deltarill import run as run_module
 from deltarill.functions import stats, strings
 from deltarill.operators import partition, state
 from deltarill.plans import algorithms, schedule, superstep, terminate
-from deltarill.sources import adjacency, results
+from deltarill.session import materialize, shared_dir
+from deltarill.sources import adjacency, config, prepared, results
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -85,11 +89,15 @@ def pagerank_totals(spark: SparkSession, d: str) -> DataFrame:
     return results.totals(_ranked(spark, graph.supp_part(spark, d), 5)).select(F.round("sum_delta", 5).alias("sum_delta"), F.round("sum_value", 5).alias("sum_value"))
 
 
-@query(_pagerank_sql(USER_NEXT, 11, """, per AS (SELECT i + 1 AS round, sum(delta) AS d, count(*) AS updates FROM r WHERE i < 12 GROUP BY i),
-prog AS (SELECT round, sum(d) OVER (ORDER BY round) AS progress, updates FROM per),
-di AS (SELECT round, progress, abs(progress - lag(progress) OVER (ORDER BY round)) AS diff, updates FROM prog)
-SELECT CAST(round AS INT) AS round, round(progress, 5) AS progress, round(diff, 5) AS diff, CAST(updates AS BIGINT) AS updates, round = 12 AS terminated FROM di""".replace(", per AS", ", per AS", 1)).replace("""GROUP BY r.i, w.dst))
-, per""", """GROUP BY r.i, w.dst)), per"""))
+def _progress_sql(edges: str, rounds: int) -> str:
+    """``prog(round, progress, updates)`` of full rounds."""
+    return _pagerank_sql(edges, rounds - 1, "").rstrip() + f""", per AS (SELECT i + 1 AS round, sum(delta) AS d, count(*) AS updates FROM r WHERE i < {rounds} GROUP BY i),
+prog AS (SELECT round, sum(d) OVER (ORDER BY round) AS progress, updates FROM per)"""
+
+
+@query(_progress_sql(USER_NEXT, 12) + """
+SELECT CAST(round AS INT) AS round, round(progress, 5) AS progress, round(abs(progress - lag(progress) OVER (ORDER BY round)), 5) AS diff,
+CAST(updates AS BIGINT) AS updates, round = 12 AS terminated FROM prog""")
 def pagerank_progress(spark: SparkSession, d: str) -> DataFrame:
     """Progress, its change, updates and the end, per round, with a limit of 12 rounds."""
     prepared = superstep.prepare(graph.user_next(spark, d))
@@ -117,6 +125,73 @@ def scheduled_round(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.round("value", 6).alias("value"), F.round("delta", 6).alias("delta"))
 
 
+_CHECKS = """, c AS (SELECT *, abs(progress - lag(progress) OVER (ORDER BY round)) AS diff FROM prog WHERE round % 4 = 0),
+stop AS (SELECT min(round) AS last FROM c WHERE diff <= 0.05)"""
+
+
+@query(_progress_sql(USER_NEXT, 96) + _CHECKS + """
+SELECT CAST(round AS INT) AS round, round(progress, 4) AS progress, round(diff, 4) AS diff, round = last AS terminated FROM c, stop WHERE round <= last""")
+def diff_stop(spark: SparkSession, d: str) -> DataFrame:
+    """A run that its change of progress ends, looked at every fourth round."""
+    run = superstep.run_daic(superstep.prepare(graph.user_next(spark, d)), algorithms.pagerank(), terminate.diff(0.05), check_every=4)
+    return spark.createDataFrame(run.metrics, "round int, progress double, diff double, updates long, terminated boolean").select(
+        "round", F.round("progress", 4).alias("progress"), F.round("diff", 4).alias("diff"), "terminated"
+    )
+
+
+@query(_pagerank_sql(NATION_TRADE, 31, "SELECT id, round(sum(delta) FILTER (i < 32), 4) AS value, true AS reached FROM r GROUP BY id"))
+def daic_portion(spark: SparkSession, d: str) -> DataFrame:
+    """Full rounds, and whether a run in which only the half of highest priority is scheduled, until its progress stands, reaches the same."""
+    prepared, k = superstep.prepare(graph.nation_trade(spark, d)), algorithms.pagerank()
+    full = superstep.run_rounds(prepared, k, 32)
+    run = superstep.run_daic(prepared, k, terminate.diff(0.05), portion=0.5, check_every=8, min_rows_for_threshold=5, exact_threshold=True)
+    some = run.state.select("id", F.col("value").alias("scheduled"))
+    return full.join(some, "id").select("id", F.round("value", 4).alias("value"), (F.abs(F.col("value") - F.col("scheduled")) < 0.02).alias("reached"))
+
+
+def _base(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/deltarill-query-{uuid.uuid4().hex}"
+
+
+_EQUAL_SQL = """q AS (SELECT *, row_number() OVER (ORDER BY src, dst) - 1 AS idx FROM e), n AS (SELECT count(*) AS m FROM q),
+z(done, taken, size) AS (SELECT 0, CAST(0 AS BIGINT), m // 5 + 1 FROM n UNION ALL SELECT done + 1, taken + size, (m - taken - size) // (5 - done - 1) FROM z, n WHERE done < 4)"""
+
+
+@query(f"""WITH RECURSIVE {SUPP_PART}, {_EQUAL_SQL}, s AS (SELECT q.*, z.done AS shard FROM q JOIN z ON idx >= taken AND idx < taken + size),
+runs AS (SELECT * FROM (VALUES (1, false), (2, true), (3, false), (4, true)) t(run, reused))
+SELECT run, reused, CAST(shard AS INT) AS shard, count(*) AS n_edges, min(src) AS first_src, max(src) AS last_src FROM s, runs GROUP BY ALL""")
+def prepared_reuse(spark: SparkSession, d: str) -> DataFrame:
+    """Equal-edge shards written, found again, written anew once the text has changed its time, and taken as they are when told not to look."""
+    base = _base(spark)
+    lines = adjacency.to_lines(graph.supp_part(spark, d)).select("line")
+    out = None
+    for run, look in enumerate((True, True, True, False), 1):
+        if run != 2:
+            lines.write.mode("overwrite").text(f"{base}/text")
+        e, reused = prepared.edges(spark, f"{base}/text", f"{base}/prepared", 5, check_time=look)
+        one = materialize(e.groupBy("shard").agg(F.count("*").alias("n_edges"), F.min("src").alias("first_src"), F.max("src").alias("last_src")).select(
+            F.lit(run).alias("run"), F.lit(reused).alias("reused"), F.col("shard").cast("int").alias("shard"), "n_edges", "first_src", "last_src"))
+        out = one if out is None else out.unionByName(one)
+    prepared.delete(spark, base)
+    return out
+
+
+@query(_progress_sql(USER_NEXT, 96) + _CHECKS + """
+SELECT r.id, round(sum(r.delta), 3) AS value, CAST(max(last) AS INT) AS rounds, 2 AS shards, true AS converged FROM r, stop WHERE r.i < last GROUP BY r.id""")
+def config_run(spark: SparkSession, d: str) -> DataFrame:
+    """From a configuration to the lines of the result: text prepared in two shards, run until progress stands, dumped and read again."""
+    base = _base(spark)
+    adjacency.to_lines(graph.user_next(spark, d)).select("line").write.text(f"{base}/text")
+    c = config.parse(f"# a run\nALGORITHM=pagerank\nINPUT={base}/text\nRESULT={base}/result\nNSHARDS=2\nTERMTHRESH = 0.05\nTERMCHECKINTERVAL=4\n")
+    job = run_module.run(spark, c)
+    line = F.split("line", "\t")
+    out = run_module.written(spark, c).select(
+        line[0].cast("long").alias("id"), F.round(line[1].cast("double"), 3).alias("value"), F.lit(job.run.metrics[-1]["round"]).alias("rounds"),
+        F.lit(job.shards).alias("shards"), F.lit(job.run.converged).alias("converged"))
+    prepared.delete(spark, base)
+    return out
+
+
 @query(_pagerank_sql(SUPP_PART, 9, "SELECT CAST(id AS VARCHAR) || chr(9) || format('{:.4f}', round(sum(delta) FILTER (i < 10), 4)) AS line FROM r GROUP BY id"))
 def result_dump(spark: SparkSession, d: str) -> DataFrame:
     """The result sink's lines."""
@@ -303,11 +378,13 @@ def shard_mod_str(spark: SparkSession, d: str) -> DataFrame:
     return graph.table(spark, d, "shard_flushinfo").select("shovel_id", partition.mod_str(key, 5).alias("shard"))
 
 
-@query("SELECT src, dst, edge_id FROM edge_with_value WHERE src IS NOT NULL AND dst IS NOT NULL")
+@query("SELECT src, count(*) AS n_edges, 1::BIGINT AS n_shards, true AS in_range, true AS spread FROM edge_with_value WHERE src IS NOT NULL GROUP BY src")
 def shard_mod_hash(spark: SparkSession, d: str) -> DataFrame:
-    """Edges repartitioned by a hash of the source; nothing is lost."""
-    e = graph.table(spark, d, "edge_with_value").where("src is not null and dst is not null").select("src", "dst", "edge_id")
-    return e.where((partition.mod_hash(F.col("src"), 16) >= 0) & (partition.mod_hash(F.col("src"), 16) < 16))
+    """Shards by a hash of the source: all edges of a source in one, numbers in range, and no shard with more than twice its share of the sources."""
+    e = graph.table(spark, d, "edge_with_value").where("src is not null").select("src", partition.mod_hash(F.col("src"), 4).alias("shard"))
+    per = e.groupBy("src").agg(F.count("*").alias("n_edges"), F.count_distinct("shard").alias("n_shards"), F.min("shard").alias("lo"), F.max("shard").alias("hi"))
+    fullest = per.groupBy("lo").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return per.select("src", "n_edges", "n_shards", ((F.col("lo") >= 0) & (F.col("hi") < 4)).alias("in_range"), F.lit((fullest[0] or 0) <= 2 * (fullest[1] or 0) / 4).alias("spread"))
 
 
 @query("SELECT src, dst, edge_id, CAST(row_number() OVER (ORDER BY dst, src, edge_id) - 1 AS BIGINT) AS idx FROM edge_with_value WHERE src IS NOT NULL AND dst IS NOT NULL")
@@ -415,13 +492,20 @@ def str_trim_split_join(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""SELECT edge_id, try_cast(value AS DOUBLE) AS as_double, CASE WHEN try_cast(value AS DOUBLE) = 1 THEN true ELSE false END AS is_one, substr(value, 1, 1) AS first_sign
-FROM edge_with_value WHERE value IS NOT NULL AND regexp_full_match(value, '[0-9]+(\\.[0-9]+)?')""".replace("\\\\", "\\"))
+_IS_NUMBER = r"regexp_full_match(value, '[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?')"
+_IS_WHOLE = "regexp_full_match(value, '[-+]?[0-9]+')"
+
+
+@query(f"""SELECT edge_id, CASE WHEN {_IS_NUMBER} THEN try_cast(value AS DOUBLE) END AS as_double, CASE WHEN {_IS_NUMBER} THEN round(CAST(try_cast(value AS FLOAT) AS DOUBLE), 3) END AS as_float,
+CASE WHEN {_IS_WHOLE} THEN try_cast(value AS INT) END AS as_int, CASE WHEN {_IS_WHOLE} THEN try_cast(value AS SMALLINT) END AS as_short, CASE WHEN {_IS_WHOLE} THEN try_cast(value AS BIGINT) END AS as_long,
+CASE WHEN {_IS_WHOLE} THEN CAST(try_cast(value AS UINTEGER) AS BIGINT) END AS as_unsigned, coalesce({_IS_WHOLE} AND try_cast(value AS INT) = 1, false) AS is_one, substr(value, 1, 1) AS first_sign
+FROM edge_with_value""")
 def parse_values(spark: SparkSession, d: str) -> DataFrame:
-    """Typed readings of the payloads that are plain numbers."""
+    """Typed readings of every payload, null where it is no such number."""
     v = F.col("value")
-    return graph.table(spark, d, "edge_with_value").where(v.rlike(r"\A[0-9]+(\.[0-9]+)?\z")).select(
-        "edge_id", strings.parse(v, "double").alias("as_double"), (strings.parse(v, "double") == 1).alias("is_one"), strings.parse(v, "char").alias("first_sign")
+    kinds = {"as_double": "double", "as_int": "int", "as_short": "short", "as_long": "long", "as_unsigned": "unsigned", "is_one": "bool", "first_sign": "char"}
+    return graph.table(spark, d, "edge_with_value").select(
+        "edge_id", F.round(strings.parse(v, "float").cast("double"), 3).alias("as_float"), *[strings.parse(v, k).alias(n) for n, k in kinds.items()]
     )
 
 

@@ -1,46 +1,60 @@
 """Rows that fail to parse: cells, a rule table, one reason per faulty record, and the valid rows loaded.
 
-Records are cut into cells, cells are exploded to ``(row, column, value)``, joined to a small rule table and judged by
-its patterns; what fails is aggregated per row to the rule of lowest rank, and clean rows are those left by an anti-join.
-Only failing cells are shuffled.
+Records are cut into cells, cells are exploded to ``(row, column, value)``, joined to a small rule table and judged by its
+patterns, limits and numbers; what fails is aggregated per row to the rule of lowest rank, and clean rows are those left by an
+anti-join. Only failing cells are shuffled. Other rules, or other patterns in them, give other results.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deltarill.session import materialize
+
 #: fixed values of the two layouts
 MAX_ID = 4294967295
 ID = r"\A[0-9]+\z"
 NUMBER = r"\A[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\z"
+QUOTED = r'(?s)\A(?:"(?:[^"]++|"")*+"|[^"]*+)\z'
 SEPARATOR = {"input_graph": "\t", "edge_with_value": ","}
-N_CELLS = {"input_graph": 2, "edge_with_value": 4}
 
-#: the rule table: feed, column of the exploded cells, rank (the lowest failing one names the reason), reason, kind, pattern.
-#: Kinds: form (the raw cell), count (cells of the row), id, size (an id that equals the row's number of neighbours), match.
-RULES = [
-    ("input_graph", "raw", 1, "quoting", "form", None),
-    ("input_graph", "row", 2, "columns", "count", None),
-    ("input_graph", "src", 3, "src", "id", ID),
-    ("input_graph", "edge_count", 4, "edge_count", "size", ID),
-    ("input_graph", "dst", 5, "dst", "id", ID),
-    ("input_graph", "weight", 5, "dst", "match", NUMBER),
-    ("edge_with_value", "raw", 1, "quoting", "form", None),
-    ("edge_with_value", "row", 2, "columns", "count", None),
-    ("edge_with_value", "src", 3, "src", "id", ID),
-    ("edge_with_value", "dst", 4, "dst", "id", ID),
-    ("edge_with_value", "value", 5, "value", "match", NUMBER),
-]
-RULE_SCHEMA = "feed string, col string, rank int, reason string, kind string, pattern string"
 
+class Rule(NamedTuple):
+    """What a column of the exploded cells must be: match ``pattern``, be an integer of ``most`` at most; and how many ``cells`` go with it:
+    a number, or ``cells`` = -1 for as many as the value itself says. Of the rules a record breaks, the one of lowest ``rank`` names the reason."""
 
-def rule_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, RULE_SCHEMA)
+    feed: str
+    col: str
+    rank: int
+    reason: str
+    pattern: str | None = None
+    most: int | None = None
+    cells: int | None = None
 
 
-def _trim(c: Column, also: str = "") -> Column:
-    return F.regexp_replace(c, rf"\A[ {also}]+|[ {also}]+\z", "")
+#: the rule table. Columns: raw (a cell as it stands), row (the record, which goes with its cells), the fields, and of a list its
+#: count (which goes with its neighbours), ids and weights.
+RULES = [
+    Rule("input_graph", "raw", 1, "quoting", QUOTED),
+    Rule("input_graph", "row", 2, "columns", cells=2),
+    Rule("input_graph", "src", 3, "src", ID, MAX_ID),
+    Rule("input_graph", "edge_count", 4, "edge_count", ID, MAX_ID, -1),
+    Rule("input_graph", "dst", 5, "dst", ID, MAX_ID),
+    Rule("input_graph", "weight", 5, "dst", NUMBER),
+    Rule("edge_with_value", "raw", 1, "quoting", QUOTED),
+    Rule("edge_with_value", "row", 2, "columns", cells=4),
+    Rule("edge_with_value", "src", 3, "src", ID, MAX_ID),
+    Rule("edge_with_value", "dst", 4, "dst", ID, MAX_ID),
+    Rule("edge_with_value", "value", 5, "value", rf"\A\z|{NUMBER}"),
+]
+RULE_SCHEMA = "feed string, col string, rank int, reason string, pattern string, most long, cells int"
+
+
+def rule_table(spark: SparkSession, rules: list[Rule] = RULES) -> DataFrame:
+    return spark.createDataFrame([tuple(r) for r in rules], RULE_SCHEMA)
 
 
 def _cells(text: Column, sep: str, blanks: str) -> Column:
@@ -49,20 +63,12 @@ def _cells(text: Column, sep: str, blanks: str) -> Column:
     one = rf'(?s)((?:"(?:[^"]++|"")*+"|[^"{s}]++|")*+)(?:{s}|\z)'
     # with a separator put at the end, the last match is always the empty one behind it
     found = F.regexp_extract_all(F.concat(text, F.lit(sep)), F.lit(one), F.lit(1))
-    return F.transform(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), lambda c: _trim(c, blanks))
+    quoted = F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0)))
+    return F.transform(F.when(text.contains('"'), quoted).otherwise(F.split(text, s, -1)), lambda c: F.btrim(c, F.lit(" " + blanks)))
 
 
 def _unquote(cell: Column) -> Column:
-    return F.when(cell.rlike(r'(?s)\A".*"\z'), F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))).otherwise(cell)
-
-
-def _is_form(cell: Column) -> Column:
-    return cell.rlike(r'(?s)\A(?:"(?:[^"]++|"")*+"|[^"]*+)\z')
-
-
-def _is_id(v: Column) -> Column:
-    digits = F.regexp_replace(v, r"\A0+(?=.)", "")
-    return v.rlike(ID) & (F.length(digits) <= 10) & (digits.try_cast("long") <= MAX_ID)
+    return F.when(cell.startswith('"') & cell.endswith('"') & (F.length(cell) > 1), F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))).otherwise(cell)
 
 
 def records(raw: DataFrame, row_id: str = "line_id", text: str = "line_text", feed: str = "feed") -> DataFrame:
@@ -74,7 +80,7 @@ def records(raw: DataFrame, row_id: str = "line_id", text: str = "line_text", fe
     kept = raw.where(t.isNotNull() & ~t.rlike(r"\A[#%]") & t.rlike(r"\S") & F.col(feed).isin(*SEPARATOR)).select(
         F.col(row_id).alias("line_id"), F.col(feed).alias("feed"), t.alias("text")
     )
-    cells = F.when(F.col("feed") == "input_graph", _cells(F.col("text"), "\t", "")).otherwise(_cells(F.col("text"), ",", "\\t"))
+    cells = F.when(F.col("feed") == "input_graph", _cells(F.col("text"), "\t", "")).otherwise(_cells(F.col("text"), ",", "\t"))
     listed = F.filter(F.split(_unquote(F.get("cells", F.lit(1))), r"[ \t]+"), lambda x: x != "")
     return kept.withColumn("cells", cells).select(
         "line_id", "feed", "cells", F.size("cells").alias("n_cells"),
@@ -97,10 +103,8 @@ def exploded_cells(recs: DataFrame) -> DataFrame:
     row = F.array(cell("row", F.lit(""), F.col("n_cells")))
     items = F.col("items")
     neighbours = F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0)))
-    ids = F.transform(neighbours, lambda x: cell("dst", F.regexp_extract(x, r"\A[^,]*", 0)))
-    weights = F.transform(
-        F.filter(neighbours, lambda x: x.contains(",")), lambda x: cell("weight", F.regexp_extract(x, r"\A[^,]*,(.*)\z", 1))
-    )
+    ids = F.transform(neighbours, lambda x: cell("dst", F.substring_index(x, ",", 1)))
+    weights = F.transform(F.filter(neighbours, lambda x: x.contains(",")), lambda x: cell("weight", F.substring(x, F.instr(x, ",") + 1, F.length(x))))
     graph = F.concat(
         F.array(cell("src", named(0)), cell("edge_count", F.coalesce(F.get(items, F.lit(0)), F.lit("")), F.size(neighbours))), ids, weights
     )
@@ -110,25 +114,22 @@ def exploded_cells(recs: DataFrame) -> DataFrame:
     return recs.select("line_id", "feed", F.explode(F.concat(raw_cells, row, own)).alias("c")).select("line_id", "feed", "c.*")
 
 
-def faults(raw: DataFrame, **columns: str) -> DataFrame:
-    """``line_id, feed, reason``: one row per faulty record, with the first reason that applies.
+def _judged(cells: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The cells with their rules and ``good``. Each pattern of the table is compiled once, so it is a literal where it is tried."""
+    patterns = sorted({r.pattern for r in rules if r.pattern is not None})
+    table = rule_table(cells.sparkSession, rules).withColumn("try", F.array_position(F.array(*[F.lit(p) for p in patterns]), F.col("pattern")) if patterns else F.lit(0))
+    # as many rows as rules
+    judged = cells.join(F.broadcast(table), ["feed", "col"])
+    v, matches = F.col("val"), F.lit(True)
+    for i, p in enumerate(patterns, 1):
+        matches = F.when(F.col("try") == i, v.rlike(p)).otherwise(matches)
+    number = F.when(F.col("most").isNotNull(), v.try_cast("long"))
+    right = F.when(F.col("cells") == -1, number == F.col("n")).when(F.col("cells").isNotNull(), F.col("cells") == F.col("n")).otherwise(True)
+    return judged.withColumn("good", F.coalesce(matches, F.lit(False)) & (F.col("most").isNull() | F.coalesce(number <= F.col("most"), F.lit(False))) & F.coalesce(right, F.lit(False)))
 
-    The rule table is a constant of this module and is broadcast as such. A row id that is repeated is judged once, by
-    the worst of its records. An empty table gives no row; texts of any length are read whole.
-    """
-    cells = exploded_cells(records(raw, **columns))
-    expected = F.when(F.col("feed") == "input_graph", 2).otherwise(4)
-    judged = cells.join(F.broadcast(rule_table(raw.sparkSession)), ["feed", "col"])
-    v, kind = F.col("val"), F.col("kind")
-    count = F.when(_is_id(v), F.regexp_replace(v, r"\A0+(?=.)", "").try_cast("long"))
-    good = (
-        F.when(kind == "form", _is_form(v))
-        .when(kind == "count", F.col("n") == expected)
-        .when(kind == "id", _is_id(v))
-        .when(kind == "size", F.coalesce(count == F.col("n"), F.lit(False)))
-        .otherwise(((F.col("col") == "value") & (v == "")) | v.rlike(NUMBER))
-    )
-    failed = judged.where(~F.coalesce(good, F.lit(False)))
+
+def _faults(recs: DataFrame, rules: list[Rule]) -> DataFrame:
+    failed = _judged(exploded_cells(recs), rules).where(~F.col("good"))
     return (
         failed.groupBy("line_id", "feed")
         .agg(F.min(F.struct("rank", "reason")).alias("first"))
@@ -136,15 +137,24 @@ def faults(raw: DataFrame, **columns: str) -> DataFrame:
     )
 
 
-def loaded(raw: DataFrame, feed: str, **columns: str) -> DataFrame:
+def faults(raw: DataFrame, rules: list[Rule] = RULES, **columns: str) -> DataFrame:
+    """``line_id, feed, reason``: one row per faulty record, with the first reason that applies.
+
+    A row id that is repeated is judged once, by the worst of its records. An empty table gives no row; texts of any length are
+    read whole. A column without a rule is not judged.
+    """
+    return _faults(records(raw, **columns), rules)
+
+
+def loaded(raw: DataFrame, feed: str, rules: list[Rule] = RULES, **columns: str) -> DataFrame:
     """The valid records of one feed as rows.
 
     ``input_graph``: ``line_id, src, edge_count, dst, weight``, one row per neighbour, a record without neighbours as one
     row of null ``dst``; a neighbour without a weight has a null one. ``edge_with_value``: ``line_id, src, dst, value, note``;
-    empty value and note are null.
+    empty value and note are null. The records are parsed once and kept in the shared folder for the anti-join.
     """
-    bad = faults(raw, **columns).select("line_id")
-    clean = records(raw, **columns).where(F.col("feed") == feed).join(bad, "line_id", "left_anti")
+    recs = materialize(records(raw, **columns).where(F.col("feed") == feed))
+    clean = recs.join(_faults(recs, rules).select("line_id"), "line_id", "left_anti")
     cell = lambda i: _unquote(F.get("cells", F.lit(i)))
     if feed == "edge_with_value":
         return clean.select(

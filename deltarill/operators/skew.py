@@ -7,11 +7,15 @@ counts, distinct counts, modes and percentiles are exact.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of equally filled value ranges used to split a key's values for percentiles. They only place the cuts: whatever they are, the result is exact.
+from deltarill.session import materialize
+
+#: equally filled ranges that the values of a key with many of them are cut into for percentiles. They only place the cuts: whatever they are, the result is exact.
 RANGES = 64
+#: a key has many values from this share of all weighted values on, so there are at most 1 / MANY of them
+MANY = 1 / 1024
 
 
 def compress(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -46,27 +50,23 @@ def per_key_sums(compressed: DataFrame) -> DataFrame:
     )
 
 
-def _range_of(value: Column, bounds: list) -> Column:
-    """The number of bounds below ``value``, by a tree of comparisons."""
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value <= F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(bounds))
-
-
 def per_key_percentiles(compressed: DataFrame, shares: list[float]) -> DataFrame:
     """``key_val, share, value``: exact discrete percentiles, the least value at or below which ``share`` of the key's rows lie.
 
-    Values are cut at ``RANGES`` bounds common to all keys; counts per (key, range) find the range that holds each
-    percentile, and only the values of that range are ordered. A task orders one range of one key, never a whole key.
-    Null values are left out; a key with nulls only gives no row.
+    The values of a key that has many are cut at ``RANGES`` bounds of its own; counts per (key, range) find the range that holds
+    each percentile, and only the values of that range are ordered. So a task orders a part of a hot key, or a key with few
+    values, never a whole hot key. Weighted values are written once to the shared folder. Null values are left out; a key with
+    nulls only gives no row.
     """
-    c = compressed.where("value is not null")
-    row = c.agg(F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("b")).first()
-    ranged = c.withColumn("r", _range_of(F.col("value"), sorted(set(row.b or []))))
+    c = materialize(compressed.where("value is not null"))
+    per = c.groupBy("key_val").agg(F.count("*").alias("values"))
+    total = per.agg(F.sum("values")).first()[0] or 0
+    many = per.where(F.col("values") > F.lit(MANY * total)).select("key_val")
+    cuts = [i / RANGES for i in range(1, RANGES)]
+    # at most 1 / MANY keys, with their bounds
+    own = c.join(F.broadcast(many), "key_val", "left_semi").groupBy("key_val").agg(F.percentile_approx("value", cuts, 10 * RANGES).alias("bounds"))
+    below = F.size(F.filter("bounds", lambda b: b < F.col("value")))
+    ranged = c.join(F.broadcast(materialize(own)), "key_val", "left").select("key_val", "value", "n", F.when(F.col("bounds").isNull(), 0).otherwise(below).alias("r"))
     sums = ranged.groupBy("key_val", "r").agg(F.sum("n").alias("n"))
     by_key = Window.partitionBy("key_val").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
     upto = sums.withColumn("upto", F.sum("n").over(by_key)).withColumn(

@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Kernel:
     """
-    init_value, init_delta: from the vertex id.
+    init_value, init_delta: from the vertex id, and from columns of the vertex data given to ``superstep.initial``.
     identity: the neutral element of ``combine``; a delta that equals it is not pending.
     agg, combine: the same commutative and associative operation as an aggregate and between two columns.
     message: from (delta, value after the update, out-degree, edge weight).
     priority: from (value, delta); used when only a portion of the vertices is scheduled.
     pre_step: optional rewrite of the delta from (id, delta, value) before it is applied.
+    fan_out: optional, instead of ``message`` where an edge carries any number of messages to any vertices: from (dst, delta, value after
+        the update, out-degree, edge weight) to an array of structs ``dst, m``.
     improves: vertices send only if the delta changes the value (for min and max, which would otherwise never end).
     """
 
@@ -35,6 +37,7 @@ class Kernel:
     priority: Callable[[Column, Column], Column] = lambda value, delta: delta
     pre_step: Callable[[Column, Column, Column], Column] | None = None
     improves: bool = False
+    fan_out: Callable[[Column, Column, Column, Column, Column], Column] | None = None
 
     @property
     def id_column(self) -> Column:

@@ -7,8 +7,11 @@ executors share, so that a lost executor costs a re-read and not a re-computatio
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +41,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, so that they need not have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_deltarill_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    d = tempfile.mkdtemp(prefix="deltarill-")
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    target = f"{d}/deltarill.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(target)  # the driver serves it to the executors
+    sc._deltarill_shipped = True
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -58,4 +77,4 @@ def _clean() -> None:
         try:
             _delete(spark, path)
         except Exception:  # the context may be gone already
-            return
+            continue

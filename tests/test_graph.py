@@ -138,3 +138,57 @@ def test_a_limit_of_rounds_is_no_silent_end(spark):
     with pytest.raises(RuntimeError):
         superstep.run_daic(prepared, algorithms.shortest_paths(0), lambda *_: False, limit=2)
     assert superstep.run_daic.__kwdefaults__["limit"] is None
+
+
+def test_a_hot_source_is_split_in_every_round(spark):
+    """Half of all edges have one source: no task gets more than its part of them, in the first round and later."""
+    n = 3000
+    edges = spark.range(n).select(F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") % 200 + 2).alias("src"), (F.col("id") % 211).alias("dst"))
+    k = algorithms.pagerank()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        prepared = superstep.prepare(edges)
+        assert prepared.where("salt > 0").select("src").distinct().collect() == [(1,)]
+        state = superstep.initial(prepared, k)
+        for _ in range(3):
+            per = [r["count"] for r in superstep.messages(state, prepared, k).groupBy(F.spark_partition_id()).count().collect()]
+            assert max(per) <= 0.4 * sum(per) and len(per) == 4
+            state = superstep.superstep(state, prepared, k)
+        value, delta = daic([tuple(r) for r in edges.collect()], 3)
+        got = {r.id: (r.value, r.delta) for r in state.collect()}
+        assert set(got) == set(value) and all(got[i] == (pytest.approx(value[i]), pytest.approx(delta[i])) for i in value)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_large_states_are_joined_by_sorting(spark, monkeypatch):
+    prepared = superstep.prepare(edges_of(spark, [(1, 2), (2, 3), (3, 1)]))
+    plan = lambda: superstep.superstep(superstep.initial(prepared, algorithms.pagerank()), prepared, algorithms.pagerank())._jdf.queryExecution().optimizedPlan().toString()
+    assert "shuffle_hash" in plan()
+    monkeypatch.setattr(superstep, "HASH_BYTES", 0)
+    assert "shuffle_hash" not in plan()
+
+
+def test_a_limit_may_end_a_run_that_has_not_converged(spark):
+    prepared = superstep.prepare(edges_of(spark, [(i, i + 1) for i in range(5)]))
+    run = superstep.run_daic(prepared, algorithms.shortest_paths(0), lambda *_: False, limit=2, stop_at_limit=True)
+    assert not run.converged and [m["round"] for m in run.metrics] == [1, 2]
+    assert superstep.run_daic(prepared, algorithms.shortest_paths(0), lambda *_: False).converged
+
+
+def test_checks_are_as_rare_as_asked_for_with_a_portion(spark):
+    r = random.Random(4)
+    pairs = [(i, r.randrange(30)) for i in range(30)] + [(r.randrange(30), r.randrange(30)) for _ in range(60)]
+    run = superstep.run_daic(superstep.prepare(edges_of(spark, pairs)), algorithms.pagerank(), terminate.max_rounds(6), portion=0.5, check_every=3, min_rows_for_threshold=5)
+    assert [m["round"] for m in run.metrics] == [3, 6] and 0 < run.metrics[1]["updates"] < 30
+
+
+def test_vertex_data_and_many_messages(spark):
+    """First values from the vertices' own data; an edge sends to its end and to the vertex ten further."""
+    data = spark.createDataFrame([(1, 5.0), (2, 7.0)], "id long, mass double")
+    k = Kernel("spread", lambda i: F.lit(0.0), lambda i: F.coalesce(F.col("mass"), F.lit(0.0)), 0.0, F.sum, lambda a, b: a + b, lambda d, v, n, w: d,
+               fan_out=lambda dst, d, v, n, w: F.array(F.struct(dst.alias("dst"), d.alias("m")), F.struct((dst + 10).alias("dst"), (d * 2).alias("m"))))
+    ids = spark.createDataFrame([(11,), (12,)], "id long")
+    prepared = superstep.prepare(edges_of(spark, [(1, 2), (2, 1)]), ids)
+    s = superstep.superstep(superstep.initial(prepared, k, data), prepared, k)
+    assert {r.id: (r.value, r.delta) for r in s.collect()} == {1: (5.0, 7.0), 2: (7.0, 5.0), 11: (0.0, 14.0), 12: (0.0, 10.0)}

@@ -102,3 +102,17 @@ def test_empty_table_and_long_text(spark):
     note = '1,2,3,"' + 'a""' * 100_000 + '"'
     df = spark.createDataFrame([(1, "input_graph", long), (2, "edge_with_value", note), (3, "edge_with_value", note[:-1])], schema)
     assert [tuple(r) for r in quarantine.faults(df).select("line_id", "reason").collect()] == [(3, "quoting")]
+
+
+def test_the_rules_rule(spark, rows):
+    data = [(1, "edge_with_value", "7,8,1.5,x"), (2, "edge_with_value", "7,8,abc,x"), (3, "edge_with_value", "700,8,1,x"), (4, "edge_with_value", "7,8,1"), (5, "input_graph", "1\t1 5,x")]
+    df = spark.createDataFrame(data, "line_id long, feed string, line_text string")
+    found = lambda rules: rows(quarantine.faults(df, rules), "line_id", "reason")
+    assert found(quarantine.RULES) == [(2, "value"), (4, "columns"), (5, "dst")]
+    changed = [r._replace(pattern=r"\A[a-z]*\z") if r.col == "value" else r for r in quarantine.RULES]
+    assert found(changed) == [(1, "value"), (3, "value"), (4, "columns"), (5, "dst")]
+    assert found([r._replace(most=100) if r.col == "src" else r for r in quarantine.RULES]) == [(2, "value"), (3, "src"), (4, "columns"), (5, "dst")]
+    assert found([r._replace(cells=3) if r.feed == "edge_with_value" and r.col == "row" else r for r in quarantine.RULES]) == [(1, "columns"), (2, "columns"), (3, "columns"), (5, "dst")]
+    assert found([r._replace(rank=1, reason="note") if r.col == "weight" else r for r in quarantine.RULES if r.col != "row"]) == [(2, "value"), (5, "note")]
+    assert found([r._replace(pattern="NEVER") if r.pattern else r for r in quarantine.RULES]) == [(i, "quoting") for i in range(1, 6)]
+    assert found([]) == []
