@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deltarill.session import ship
+
 #: successive words that make a leak
 MIN_WORDS = 12
 #: words of a block
@@ -231,6 +233,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     """
     if min_words < 1:
         raise ValueError("min_words must be positive")
+    ship(docs.sparkSession)
     out_schema = f"doc_id {dict(docs.dtypes)[doc_id]}, item_id {dict(items.dtypes)[item_id]}"
     cols = [F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (F.col(cue_format) if cue_format else F.lit(None).cast("string")).alias("fmt")]
     source = docs.where(F.col(text).isNotNull()).select(*cols)

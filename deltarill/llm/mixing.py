@@ -2,7 +2,7 @@
 
 Tokens are counted per source over all documents; a repetition rate per source follows from its share, and each document
 comes out ``floor(rate)`` times plus once more if a number made of a seed and its id falls below the rate's fraction. Documents
-are never shuffled for the draw: it depends on nothing but the id.
+are never shuffled for the draw: it depends on nothing but the id, so :func:`records` emits them, whole, in a pass over the corpus.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltarill.session import materialize
+from deltarill.session import materialize, ship
 
 #: where the public vocabularies lie by default, and which one sizes are measured with
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -37,6 +37,7 @@ def _encoding(path: str):
 def token_counts(docs: DataFrame, text: str, keep: list[str], tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """``keep..., n_tokens``: tokens of each whole text; a null or empty text has none. Arrow batches, no shuffle."""
     path = f"{tokenizer_dir}/{vocabulary}.tiktoken"
+    ship(docs.sparkSession)
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -82,7 +83,7 @@ def rates(counted: DataFrame, targets: DataFrame, source: str, total_tokens: flo
     )
 
 
-def draw(counted: DataFrame, rated: DataFrame, doc_id: str, source: str, seed: int = 17) -> DataFrame:
+def draw(counted: DataFrame, rated: DataFrame, doc_id: str, source: str, seed: int = 17, keep: tuple | list = ()) -> DataFrame:
     """``doc_id, source, copy, n_tokens``: one row per use of a document, ``copy`` from 1 on.
 
     ``rated`` has one row per listed source. Documents with a null or unlisted source are not used. Rows that repeat a
@@ -93,16 +94,46 @@ def draw(counted: DataFrame, rated: DataFrame, doc_id: str, source: str, seed: i
     base = F.floor(F.col("rate") + F.lit(1e-9))
     n = F.least(base + (unit < F.col("rate") - base).cast("long"), F.col("max_repeats")).cast("int")
     return (
-        counted.join(r, F.col(source) == F.col("rated_source"))
+        counted.join(F.broadcast(r), F.col(source) == F.col("rated_source"))  # one row per listed source
         .withColumn("n", n)
         .where("n > 0")
-        .select(F.col(doc_id).alias("doc_id"), F.col("rated_source").alias("source"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"), "n_tokens")
+        .select(F.col(doc_id).alias("doc_id"), F.col("rated_source").alias("source"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"), "n_tokens", *keep)
     )
 
 
+def records(docs: DataFrame, rated: DataFrame, doc_id: str = "doc_id", source: str = "source", seed: int = 17) -> DataFrame:
+    """The mixture itself: the drawn documents with all their columns and ``copy``, once per use, without a shuffle of the corpus.
+
+    A column of the documents that is called ``copy`` keeps its name; the number of the copy then has underscores behind its own.
+    """
+    name = "copy"
+    while name in docs.columns:
+        name += "_"
+    whole = docs.select(F.struct("*").alias("_doc"), F.col(doc_id).alias("_id"), F.col(source).alias("_source"), F.lit(0).alias("n_tokens"))
+    drawn = draw(whole, rated, "_id", "_source", seed, keep=["_doc"])
+    return drawn.select("_doc.*", F.col("copy").alias(name))
+
+
+def check(drawn: DataFrame, rated: DataFrame, docs: DataFrame, doc_id: str = "doc_id", source: str = "source", tolerance: float = 0.01) -> DataFrame:
+    """``source, n_docs`` of each listed source and the faults of a mixture: ``over_used`` documents, ``foreign`` uses (of a document whose
+    source is another one or not listed); ``near_target`` is whether its share of the tokens is within ``tolerance`` and the scatter of so many draws
+    (one over the root of their number) of the target among the sources with documents."""
+    uses = drawn.groupBy("source", F.col(doc_id).alias("_id")).agg(F.count("*").alias("uses"), F.sum("n_tokens").alias("n_tokens"))
+    own = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_own"))
+    there = own.where("_own is not null").groupBy(F.col("_own").alias("source")).agg(F.count("*").alias("n_docs"))
+    wrong = uses.join(own, (uses._id == own._id) & uses.source.eqNullSafe(own._own), "left_anti").groupBy("source").agg(F.sum("uses").alias("foreign"))
+    per = uses.join(F.broadcast(rated.select("source", "max_repeats")), "source", "left").groupBy("source").agg(
+        F.count_if(F.col("uses") > F.col("max_repeats")).alias("over_used"), F.sum("n_tokens").alias("mixed"), F.sum("uses").alias("n_uses"))
+    j = rated.join(there, "source", "left").join(per, "source", "left").join(wrong, "source", "left").fillna(0, ["n_docs", "over_used", "mixed", "foreign", "n_uses"])
+    sums = j.agg(F.sum("mixed"), F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))), F.sum("n_uses")).first()
+    tolerance += float(sums[2] or 1) ** -0.5
+    target = F.when(F.col("tokens") > 0, F.col("target_share") / F.lit(float(sums[1] or 1))).otherwise(0.0)
+    return j.select("source", "n_docs", "over_used", "foreign", (F.abs(F.col("mixed") / F.lit(float(sums[0] or 1)) - target) <= tolerance).alias("near_target"))
+
+
 def mixture(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
             total_tokens: float | None = None, seed: int = 17, tokenizer_dir: str = TOKENIZER_DIR) -> tuple[DataFrame, DataFrame]:
-    """The drawn documents (see :func:`draw`) and the rates; texts are tokenized once and their sizes kept in the shared folder."""
+    """The drawn ids and sizes (see :func:`draw`; :func:`records` gives the documents themselves) and the rates; texts are tokenized once and their sizes kept in the shared folder."""
     counted = materialize(token_counts(docs, text, [doc_id, source], tokenizer_dir))
     rated = rates(counted, targets, source, total_tokens)
     return draw(counted, rated, doc_id, source, seed), rated

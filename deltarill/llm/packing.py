@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deltarill.session import materialize, release
+from deltarill.session import materialize, release, ship
 
 #: partitions merged into one by a round
 FAN_IN = 8
@@ -127,6 +127,7 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int, partitions: i
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
+    ship(items.sparkSession)
     cut = pieces(items, item_id, size, capacity)
     parts = partitions or max(2, -(-cut.count() // PARTITION_ITEMS))
     # by the place in the input, so that neither equal ids nor equal sizes gather; the place is the same when a task runs again

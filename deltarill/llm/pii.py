@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deltarill.llm.leaks import _HIGH, _sloppy_bytes, form
-from deltarill.session import materialize, release
+from deltarill.session import materialize, release, ship
 
 #: share of an entity's information content from which on a term gives it away
 DISCLOSURE = 0.8
@@ -590,6 +590,7 @@ def _terms(c: Candidate) -> tuple:
 
 def candidates(docs: DataFrame, names: DataFrame, doc_id: str = "doc_id", text: str = "text", cue_format: str | None = "cue_format") -> DataFrame:
     """One row per candidate, see :class:`Candidate`, and rows of kind ``words`` with numbers of words. One pass, no shuffle."""
+    ship(docs.sparkSession)
     listed, spelled = _listed(_listed_rows(names))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -773,6 +774,7 @@ def redact(docs: DataFrame, names: DataFrame, doc_id: str = "doc_id", text: str
     known = {r.term: r.kind for r in rows}
     release(cand)
     release(accepted)
+    ship(docs.sparkSession)
     listed, spelled = _listed(_listed_rows(names))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

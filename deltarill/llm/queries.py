@@ -85,14 +85,33 @@ ORACLES["p2_top"] = """SELECT dst, n_edges FROM (
 # --- 8: mixing sources
 
 
+def _mixed(spark: SparkSession, d: str):
+    docs = table(spark, d, "documents")
+    return docs, *mixing.mixture(docs, table(spark, d, "source_targets"))
+
+
 @query
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "source_targets"))[0]
+    """The mixture: whole documents, once per use."""
+    docs, _, rated = _mixed(spark, d)
+    return mixing.records(docs.select("doc_id", "source", "lang", "text"), rated)
 
 
 @query
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(*mixing.mixture(table(spark, d, "documents"), table(spark, d, "source_targets")))
+    _, drawn, rated = _mixed(spark, d)
+    return mixing.shares(drawn, rated)
+
+
+@query
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each listed source and the faults of the mixture, of which there are none."""
+    docs, drawn, rated = _mixed(spark, d)
+    return mixing.check(drawn, rated, docs)
+
+
+ORACLES["p8_check"] = """SELECT source, count(doc_id) AS n_docs, 0::BIGINT AS over_used, 0::BIGINT AS foreign, true AS near_target
+FROM source_targets LEFT JOIN documents USING (source) GROUP BY source"""
 
 
 # --- 7: evaluation texts leaking

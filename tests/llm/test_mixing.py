@@ -43,3 +43,26 @@ def test_empty(spark):
     assert drawn.count() == 0 and mixing.shares(drawn, rated).first().actual_share == 0
     drawn, rated = mixing.mixture(d, t.limit(0))
     assert drawn.count() == 0 and mixing.shares(drawn, rated).count() == 0
+
+
+def test_records_are_whole_documents(spark):
+    docs = [(i, f"text {i}", "a" if i % 3 else "b", i) for i in range(300)] + [(900, None, "a", 0), (901, "x", None, 0)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string, copy int").withColumns({"rate": F.lit(3), "n": F.lit(1), "n_tokens": F.lit(9)})
+    t = spark.createDataFrame([("a", 0.3, 2), ("b", 0.7, 3)], "source string, target_share double, max_repeats int")
+    drawn, rated = mixing.mixture(d, t)
+    out = mixing.records(d, rated)
+    assert out.columns == [*d.columns, "copy_"]
+    assert sorted(tuple(r) for r in out.select("doc_id", "source", "copy_").collect()) == sorted(tuple(r) for r in drawn.select("doc_id", "source", "copy").collect())
+    assert all(r.text is None or r.text == f"text {r.doc_id}" for r in out.collect())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+
+
+def test_check_finds_faults(spark):
+    d = spark.createDataFrame([(1, "x", "a"), (2, "x", "b"), (3, "x", None)], "doc_id long, text string, source string")
+    rated = spark.createDataFrame([("a", 0.5, 1, 10, 1.0), ("b", 0.5, 2, 10, 1.0), ("c", 0.1, 1, 0, 0.0)], "source string, target_share double, max_repeats int, tokens long, rate double")
+    drawn = spark.createDataFrame([(1, "a", 1, 1000), (1, "a", 2, 1000), (3, "b", 1, 1)], "doc_id long, source string, copy int, n_tokens long")
+    got = {r.source: tuple(r)[1:] for r in mixing.check(drawn, rated, d).collect()}
+    assert got == {"a": (1, 1, 0, True), "b": (1, 0, 1, True), "c": (0, 0, 0, True)}
+    many = drawn.unionByName(spark.range(400).selectExpr("1L as doc_id", "'a' as source", "1 as copy", "10L as n_tokens"))
+    assert not {r.source: r.near_target for r in mixing.check(many, rated, d).collect()}["a"]
