@@ -28,7 +28,7 @@ def hot_keys(df: DataFrame, key: str) -> list:
     buckets = {r.b: r.n for r in k.groupBy("b").agg(F.count("*").alias("n")).collect()}
     need = max(LEAST_SHARE, 0.5 / tasks) * sum(buckets.values())
     full = [b for b, n in buckets.items() if n > need]
-    if not full or len(full) > 1 / LEAST_SHARE:
+    if not full:
         return []
     return [r.k for r in k.where(F.col("b").isin(full)).groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > need).select("k").collect()]
 
