@@ -140,7 +140,10 @@ def split_packed(df: DataFrame, row_id: str, value: str, separators, layout: Lay
         inner = F.trim(F.substring(core, F.lit(2), F.length(core) - 2))
         return F.when(quoted & q.isin('"', "'"), F.replace(inner, F.concat(q, q), q)).otherwise(core)
 
-    pieces = F.regexp_extract_all(_bare(F.col(value), layout), pattern, F.lit(0))
+    bare = _bare(F.col(value), layout)
+    pieces = F.regexp_extract_all(bare, pattern, F.lit(0))
+    if not isinstance(separators, Column):  # most fields hold one value, which needs no cutting
+        pieces = F.when(bare.rlike(f"[{_cls(separators)}]"), pieces).otherwise(F.array(bare)) if separators else F.array(bare)
     return (
         df.where(F.col(value).isNotNull())
         .select(F.col(row_id).alias("row_id"), F.transform(pieces, clean).alias("vals"))

@@ -69,8 +69,9 @@ def _layout(prepared: DataFrame) -> tuple[list, int, int]:
     """Hot sources, their salts and the number of vertices, looked up once per prepared table."""
     known = getattr(prepared, "_deltarill_layout", None)
     if known is None:
-        salted = prepared.where("salt > 0").groupBy("src").agg(F.max("salt").alias("n")).collect() if "salt" in prepared.columns else []
-        known = [r.src for r in salted], 1 + max([r.n for r in salted], default=0), prepared.where("self").count()
+        # hot sources are few, see hot.hot_keys
+        row = prepared.agg(F.collect_set(F.when(F.col("salt") > 0, F.col("src"))), F.max("salt"), F.count_if("self")).first()
+        known = row[0], 1 + (row[1] or 0), row[2]
         prepared._deltarill_layout = known
     return known
 
