@@ -203,11 +203,12 @@ def result_dump(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {USER_NEXT}, w AS (SELECT src, dst, min(weight) AS weight FROM e WHERE src <> dst AND weight IS NOT NULL AND weight >= 0 GROUP BY 1, 2),
-first AS (SELECT min(src) AS s FROM w), r(i, id, d) AS (SELECT 0, s, CAST(0 AS DOUBLE) FROM first UNION ALL
-SELECT i + 1, dst, m FROM (SELECT r.i, w.dst, min(r.d + w.weight) AS m FROM r JOIN w ON r.id = w.src WHERE r.i < 7 GROUP BY r.i, w.dst))
+first AS (SELECT min(src) AS s FROM w), size AS (SELECT count(*) AS n FROM (SELECT src FROM w UNION SELECT dst FROM w)),
+r(i, id, d) AS (SELECT 0, s, CAST(0 AS DOUBLE) FROM first UNION ALL
+SELECT i + 1, dst, m FROM (SELECT r.i, w.dst, min(r.d + w.weight) AS m FROM r JOIN w ON r.id = w.src WHERE r.i < (SELECT n FROM size) GROUP BY r.i, w.dst))
 SELECT id, round(min(d), 6) AS value FROM r GROUP BY id""")
 def sssp_user_next(spark: SparkSession, d: str) -> DataFrame:
-    """Shortest paths from the user of least id, run until nothing is pending; the SQL follows seven edges, as many as the smallest tables need."""
+    """Shortest paths from the user of least id, run until nothing is pending; the SQL follows as many edges as there are vertices, which no shortest path exceeds."""
     e = graph.user_next(spark, d).where("src <> dst and weight >= 0").groupBy("src", "dst").agg(F.min("weight").alias("weight"))
     prepared = superstep.prepare(e)
     source = prepared.where("not self").agg(F.min("src")).first()[0]
