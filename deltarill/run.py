@@ -21,7 +21,7 @@ from deltarill.session import materialize
 @dataclass
 class Job:
     """What a run did: its ``state`` and ``metrics``, whether it ``converged``, ``shards`` of the edges, whether they were ``reused``, and
-    the reference's ``mode``, which changes nothing here: Spark spills by itself."""
+    the ``mode`` that the budget formula gives, which changes nothing here: Spark spills by itself."""
 
     run: superstep.Run
     shards: int
