@@ -54,8 +54,8 @@ def _references(spark: SparkSession, d: str) -> list[orphans.Reference]:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Level 0 of the cascade, which asks for no more here."""
-    return orphans.orphan_rows(_references(spark, d), cascade=False).select("ref_table", "ref_month", "row_id")
+    """The direct orphans of the whole cascade, which runs to its end; the inherited ones are counted in ``p4_report``."""
+    return orphans.orphan_rows(_references(spark, d)).where("kind = 'direct'").select("ref_table", "ref_month", "row_id")
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from deltarill import data_queries
 from deltarill.operators import orphans
 
 T = dt.datetime
@@ -84,6 +85,29 @@ def test_a_key_of_several_rows_is_gone_with_the_last(spark, rows):
     assert rows(orphans.orphan_rows(refs, cascade=False), "ref_table", "row_id") == [("a", 1), ("a", 3)]
 
 
+def test_p4_found_comes_from_the_whole_cascade(spark, rows, tmp_path, monkeypatch):
+    """Edge 4 hangs on the only line of its source, which is orphaned: the cascade behind p4_found goes on to it, the result is the direct rows."""
+    b, e, g = (tmp_path / f"{n}.parquet" for n in ("state_bucket", "edge_with_value", "input_graph"))
+    spark.createDataFrame([(1, day(0), None), (2, day(0), day(5))], "k long, put_at timestamp, removed_at timestamp").write.parquet(str(b))
+    spark.createDataFrame([(3, 1, 2, day(40)), (4, 7, 1, day(3)), (5, 7, 9, day(3)), (6, 1, 1, day(3)), (7, 7, None, day(3))],
+                          "edge_id long, src long, dst long, ingested_at timestamp").write.parquet(str(e))
+    spark.createDataFrame([(1, 7, day(1)), (2, 1, day(1)), (3, 2, day(1)), (4, 2, day(6))], "line_no long, src long, loaded_at timestamp").write.parquet(str(g))
+    cascades, orphan_rows = [], orphans.orphan_rows
+
+    def recorded(*args, **kwargs):
+        cascades.append(orphan_rows(*args, **kwargs))
+        return cascades[-1]
+
+    monkeypatch.setattr(orphans, "orphan_rows", recorded)
+    found = data_queries.p4_found(spark, str(tmp_path))
+    direct = [("edge_with_value", "2024-01", 5), ("edge_with_value", "2024-02", 3), ("input_graph", "2024-01", 1), ("input_graph", "2024-01", 4)]
+    assert rows(found) == sorted(direct, key=repr)
+    # edge 5 is direct, so it is not inherited as well; edge 7 has no dst but hangs on the line as edge 4 does
+    [cascade] = cascades
+    assert rows(cascade, "ref_table", "row_id", "kind", "level") == sorted(
+        [(t, i, "direct", 0) for t, _, i in direct] + [("edge_with_value", 4, "inherited", 1), ("edge_with_value", 7, "inherited", 1)], key=repr)
+
+
 def test_a_hot_key_is_split(spark, rows):
     """Half of the references and of the records have one key."""
     n = 4000
